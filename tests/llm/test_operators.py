@@ -1,0 +1,422 @@
+"""The operators against brute force, on small fixtures with the awkward cases."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+
+from lakescan.llm import bpe, exact_dedup, golay, langid, line_dedup, mixing, pii, quality, simhash, substring_dedup, url_filter
+from lakescan.llm.components import components
+from lakescan.llm.queries import vocabulary_path
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, th string, fp int, lost int"
+WORDS = "the of and tion here ouér über año 12 x+y don't they'll   tab\tbed  naïve 漢字 emoji😀 <|endoftext|> a-b ### -- '' 's".split(" ")
+SPACES = "\x20\t\n\x0b\x0c\r"
+
+
+def prose(rng, n):
+    return "".join(rng.choice(WORDS) + rng.choice([" ", " ", " ", "\n", "  ", "\u00a0", "\t", "\x0b", "\x1f", "\r\n"]) for _ in range(n))
+
+
+def documents(spark, texts, **more):
+    rows = [(k, t, more.get("lang", "en"), "src", len(t or ""), "clash", 1, 2) for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(5)
+    own = [prose(rng, rng.choice([1, 3, 10, 40, 200])) for _ in range(60)]
+    return [*own, *own[:20], None, "", " \n\t ", "a" * 5000, "ab " * 3000, " " * 300, "\u00a0", own[0], prose(rng, 4000)]
+
+
+def rows_of(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+# --- BPE
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    with open(vocabulary_path(), encoding="utf-8") as f:
+        return bpe.Vocabulary(f.read())
+
+
+@pytest.fixture(scope="module")
+def reference_tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(vocabulary_path())
+
+
+def test_bpe_equals_library(spark, texts, reference_tokenizer):
+    got = rows_of(bpe.encode(documents(spark, texts), vocabulary_path(), keep_ids=True))
+    assert len(got) == len(texts)
+    for k, t in enumerate(texts):
+        ids = reference_tokenizer.encode(t or "", add_special_tokens=False).ids
+        assert got[k]["token_ids"] == ids, (k, t)
+        assert got[k]["n_tokens"] == len(ids)
+        assert got[k]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[k]["decoded_sha256"] == hashlib.sha256(reference_tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    back = rows_of(bpe.decode(bpe.encode(documents(spark, texts), vocabulary_path(), keep_ids=True).select("doc_id", "token_ids"), vocabulary_path()))
+    assert all(back[k]["text"] == (t or "") for k, t in enumerate(texts))
+
+
+def test_bpe_blocks_and_stream(vocabulary, reference_tokenizer):
+    rng = random.Random(1)
+    encoder = bpe.Encoder(vocabulary)
+    encoder.BLOCK = 7
+    for _ in range(150):
+        t = prose(rng, 25)
+        assert encoder.ids(t) == reference_tokenizer.encode(t, add_special_tokens=False).ids
+    assert 0 < vocabulary.lookahead < 2000
+    for alphabet in ("a", "ab", "the", "-=", "\u00e9\u00fc", "abcdefghijklmnopqrstuvwxyz", " \n", "0123456789"):
+        for _ in range(4):
+            t = "".join(rng.choice(alphabet) for _ in range(3000))
+            data = t.encode()
+            assert [x for p in vocabulary.stream(data, window=1) for x in p] == vocabulary.merge(data)
+            assert vocabulary.merge_window(data) == vocabulary.merge(data)
+
+
+def test_bpe_decoder_keeps_pending_bytes(vocabulary, reference_tokenizer):
+    ids = [vocabulary.byte_id[b] for b in "é漢😀".encode()[:-1]]
+    d = bpe.Decoder(vocabulary)
+    assert "".join([d.feed([i]) for i in ids]) + d.end() == reference_tokenizer.decode(ids, skip_special_tokens=False)
+
+
+# --- SimHash
+
+
+def brute_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    hs = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def brute_components(fps, ids=None):
+    ids = ids or list(range(len(fps)))
+    root = list(range(len(fps)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3:
+                root[find(i)] = find(j)
+    least = defaultdict(lambda: 1 << 70)
+    for i in range(len(fps)):
+        least[find(i)] = min(least[find(i)], ids[i])
+    return [least[find(i)] for i in range(len(fps))]
+
+
+def test_golay_code_is_perfect_and_meets():
+    rng = random.Random(2)
+    for _ in range(300):
+        w = rng.randrange(1 << 23)
+        home = golay.near(w)[0]
+        assert len(golay.near(w)) in (1, 6)
+        for b in range(23):
+            assert home in golay.near(w ^ 1 << b)
+
+
+def test_simhash_equals_brute_force(spark, texts, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 50)
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(400)}" for _ in range(300)]
+    near = []
+    for _ in range(40):
+        w = base.copy()
+        w[rng.randrange(300)] = f"new{rng.randrange(9)}"
+        near.append(" ".join(w))
+    both = [*texts, *near]
+    assert [simhash.fingerprint(t) % (1 << 64) for t in both] == list(map(brute_fingerprint, both))
+    got = rows_of(simhash.near_duplicates(documents(spark, both)))
+    assert [got[k]["component_id"] for k in range(len(both))] == brute_components(list(map(brute_fingerprint, both)))
+    kept = simhash.keep_one(documents(spark, both))
+    assert kept.columns == documents(spark, both).columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(brute_components(list(map(brute_fingerprint, both)))))
+
+
+@pytest.mark.parametrize("bucket", [64, 2])
+def test_simhash_links_of_dense_groups(spark, bucket):
+    rng = random.Random(4)
+    fps = set()
+    for _ in range(6):
+        c = rng.randrange(1 << 64)
+        bits = rng.sample(range(64), 14)
+        for _ in range(30):
+            fps.add(c ^ sum(1 << b for b in rng.sample(bits, rng.randrange(5))))
+    fps |= {rng.randrange(1 << 64) for _ in range(50)}
+    fps = sorted(fps)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    links = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), bucket=bucket)
+    roots = {r["node"]: r["root"] for r in components(links).collect()}
+    found = [roots.get(f, f) for f in signed]
+    assert found == brute_components(fps, signed)
+
+
+def test_components_of_a_long_chain(spark):
+    n = 300
+    order = list(range(n))
+    random.Random(6).shuffle(order)
+    got = components(spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")).collect()
+    assert {r["node"] for r in got} == set(range(n)) and {r["root"] for r in got} == {0}
+
+
+# --- exact duplicates
+
+
+def test_exact_equals_brute_force(spark, texts):
+    got = rows_of(exact_dedup.classes(documents(spark, texts), share=2))
+    groups = defaultdict(list)
+    for k, t in enumerate(texts):
+        groups[t or ""].append(k)
+    for k, t in enumerate(texts):
+        g = groups[t or ""]
+        assert tuple(got[k])[1:] == (max(g), len(g), k == max(g), hashlib.sha256((t or "").encode()).hexdigest())
+
+
+def test_exact_resolves_equal_fingerprints(spark, texts, monkeypatch):
+    real = exact_dedup.fingerprints
+    monkeypatch.setattr(exact_dedup, "fingerprints", lambda d: real(d).selectExpr("doc_id", "th", "0L as size", "0L as f1", "0L as f2", "text_sha256"))
+    few = [*texts[:6], *texts[:4], None, ""]
+    got = rows_of(exact_dedup.classes(documents(spark, few), share=2))
+    for k, t in enumerate(few):
+        g = [j for j, u in enumerate(few) if (u or "") == (t or "")]
+        assert (got[k]["keep_id"], got[k]["group_size"], got[k]["kept"]) == (max(g), len(g), k == max(g))
+
+
+def test_exact_repeated_rows_and_null_ids(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (None, "a"), (None, "b"), (None, "b"), (2, "b")], "doc_id long, text string")
+    got = sorted(map(tuple, exact_dedup.classes(df).drop("text_sha256").collect()), key=str)
+    assert got == sorted([(1, 1, 3, True), (1, 1, 3, False), (None, 1, 3, False), (None, 2, 3, False), (None, 2, 3, False), (2, 2, 3, True)], key=str)
+
+
+def test_polynomial_composes():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 4095, 4096, 4097, 300_000):
+        data = rng.integers(0, 256, n, dtype=np.uint8).tobytes()
+        whole = exact_dedup.polynomial(data)
+        for at in {0, 1, n // 3, n}:
+            assert exact_dedup.combine(exact_dedup.polynomial(data[:at]), exact_dedup.polynomial(data[at:])) == whole
+        slow = [0, 0]
+        for b in data[:5000] if n > 5000 else data:
+            slow = [(f * base + b) % p for f, base, p in zip(slow, exact_dedup.BASES, exact_dedup.PRIMES)]
+        assert n > 5000 or tuple(slow) == whole[:2]
+
+
+# --- quality
+
+
+def brute_quality(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    grams = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    seen = Counter(grams)
+    marked = {i + k for i, g in enumerate(grams) if seen[g] > 1 for k in range(8)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n, r = len(words), len(marked)
+    return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), r, n < 20 or 100 * r > 30 * n
+
+
+def test_quality_counts_equal_brute_force(spark, texts):
+    got = rows_of(quality.assess(documents(spark, texts)))
+    for k, t in enumerate(texts):
+        r = got[k]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == brute_quality(t), t
+        assert not (r["base_failed"] and r["kept"])
+
+
+def test_quality_adapts_to_groups(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
+    rows = []
+    for k in range(300):
+        source = "symbolic" if k % 2 else "plain"
+        w = [word() for _ in range(60)]
+        if source == "symbolic" or k == 10:
+            w = [x + "###" for x in w]
+        rows.append((k, " ".join(w), None if k % 3 else "en", source))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = rows_of(quality.assess(df))
+    assert not got[10]["kept"] and all(got[k]["kept"] for k in range(300) if k != 10)
+    assert sorted(r["doc_id"] for r in quality.keep(df).collect()) == [k for k in range(300) if k != 10]
+
+
+# --- personal data
+
+
+def brute_base(text):
+    luhn = lambda d: sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 14 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(digits(m)) <= 15),
+    }
+    found = [(m.start(), n, k, m.end()) for n, (k, (p, ok)) in enumerate(kinds.items()) for m in re.finditer(p, text or "") if ok(m[0])]
+    return ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(found))
+
+
+def test_pii_equals_brute_force():
+    rng = random.Random(9)
+    anchors = pii.automaton()
+    parts = ["a.b@c.de", "@", "x@y", "1.2.3.4", "255.255.255.255", "256.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1111", "+1 (640) 555-0953", "+", "1", "12", ".", " ", "-", "(", "é", "é@é.com", "a%b+c@d-e.f.g", "://", "token=", "account", "%", "4111111111111111"]
+    for _ in range(4000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 14)))
+        found = pii.spans(t, anchors)
+        assert pii.named([x for x in found if x[1] < 4]) == brute_base(t), t
+
+
+def test_pii_adds_and_redacts(spark):
+    t = 'IBAN: DE89 3704 0044 0532 0130 00 token = "976d63bcc718c8af69164ec84259a9ab" https://joe:pw@host.org/x account no. 123456789'
+    got = rows_of(pii.detect(documents(spark, [t, None, "plain words"])))
+    assert {x.split(":")[0] for x in got[0]["spans"].split(",")} >= {"account", "secret", "address"}
+    assert got[1]["spans"] == got[2]["spans"] == "" and got[1]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert rows_of(pii.redact(documents(spark, ["to a@b.cd now"])))[0]["text"] == "to <email> now"
+
+
+# --- language
+
+
+def test_language_backs_off(spark):
+    rng = random.Random(11)
+    syllables = {"en": ["the", "ing", "th", "er", "on"], "de": ["sch", "ung", "ei", "ch", "üb"]}
+    rows = []
+    for k in range(200):
+        lang = "en" if k % 2 else "de"
+        rows.append((k, " ".join("".join(rng.choice(syllables[lang]) for _ in range(3)) for _ in range(30)), lang))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = langid.fit(df.where("doc_id < 150"))
+    got = rows_of(langid.predict(df, counts))
+    assert all(got[k]["lang_pred"] == r for k, _, r in rows) and all(0.5 <= got[k]["score"] <= 1 for k in got)
+    other = spark.createDataFrame([(0, None, None), (1, "12 34 !", "en"), (2, "schungei" * 3, "xx"), (3, "", "en")], "doc_id long, text string, lang string")
+    assert [rows_of(langid.predict(other, counts))[k]["lang_pred"] for k in range(4)] == ["und", "und", "de", "und"]
+    assert rows_of(langid.predict(other, []))[2]["lang_pred"] == "und"
+
+
+def test_language_held_out_accuracy(spark):
+    from lakescan.llm.queries import op4_language_id
+
+    base = "/root/testdata/sf0.01"
+    truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{base}/documents.parquet").collect()}
+    got = op4_language_id(spark, base).collect()
+    assert len(got) == len(truth) and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got)
+    held = [r for r in got if r["held_out"]]
+    assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in held) / len(held) > 0.95
+
+
+# --- substrings
+
+
+def test_substring_dedup(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvé") for _ in range(rng.randrange(2, 9)))
+    passage = " ".join(word() for _ in range(90))
+    own = [[" ".join(word() for _ in range(120)) for _ in range(2)] for _ in range(40)]
+    texts = [f"{a} {passage} {b}" if k % 4 == 0 else f"{a} {b}" for k, (a, b) in enumerate(own)]
+    texts += [texts[1], None, "", "x" * 5000, "short"]
+    got = rows_of(substring_dedup.dedup(documents(spark, texts)))
+    middle = " ".join(passage.split()[20:70])
+    for k, t in enumerate(texts[:40]):
+        r = got[k]
+        assert r["has_repeat"] == (k % 4 == 0 and k > 0), k
+        assert r["text"] == t or (k % 4 == 0 and middle not in r["text"] and own[k][0][:500] in r["text"])
+    assert got[0]["text"] == texts[0] and len(got[40]["text"]) < 100 and got[41]["text"] == got[42]["text"] == ""
+
+
+def test_cuts_resist_shifts_and_keep_characters():
+    rng = random.Random(13)
+    t = "".join(rng.choice("abcdeé漢 ") for _ in range(20_000)).encode()
+    a, b = set(substring_dedup.cuts(t).tolist()), {int(x) - 3 for x in substring_dedup.cuts("xyz".encode() + t)}
+    assert len(a & b) > 0.95 * len(a)
+    at = substring_dedup.cuts(t)
+    assert all(t[x:y].decode() for x, y in zip(at, at[1:])) and at[0] == 0 and at[-1] == len(t)
+    assert max(np.diff(substring_dedup.cuts(b"a" * 9999))) <= substring_dedup.LONGEST
+
+
+# --- lines
+
+
+def test_line_dedup(spark):
+    texts = [f"own line number {'abcdefghij'[k]} {k * 'z'} here\nJob {k} finished after {k * 7} ms\nHome | About | Contact | Terms of {'xyzuvwabcd'[k]} Service page\n" for k in range(10)]
+    texts += [None, "", "\n\n", texts[9]]
+    got = rows_of(line_dedup.dedup(documents(spark, texts)))
+    assert got[0]["text"] == texts[0] and got[0]["n_dropped"] == 0
+    for k in range(1, 10):
+        assert got[k]["text"].startswith("own line") and "Job" not in got[k]["text"] and "Home" not in got[k]["text"]
+    assert got[10]["text"] is None and got[11]["text"] == "" and got[12]["text"] == "\n\n"
+    assert got[3]["source"] == "src" and got[3]["th"] == "clash"
+
+
+# --- URLs
+
+
+def brute_url(url):
+    host = path = ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+    fits = [(h + p, v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return host, path, max(fits, key=lambda f: len(f[0]), default=None)
+
+
+def test_url_rules_and_mining(spark):
+    urls = [None, "", "no scheme", "http://", "http://A.Example.COM/en/x?y#z", "https://www.example.com/en/", "http://b.org?x", "x://net/es/", "http://sub.net/fr", "http://evilcom/", "ftp://u@h.com:8/", "a://b://c.com/", "http://ÀB.com/\nx", "http://x.casino-win.org/en/1"]
+    pages = spark.createDataFrame([(k, u, "host clash", "rule clash") for k, u in enumerate(urls)], "page_id long, url string, host string, rule string")
+    labelled = spark.createDataFrame([(f"http://{'m.casino-win' if k % 4 == 0 else 'news'}.org/de/{k}", k % 4 == 0) for k in range(200)], "url string, bad boolean")
+    got = {r["page_id"]: r for r in url_filter.judge(pages, labelled).collect()}
+    for k, u in enumerate(urls):
+        host, path, fit = brute_url(u)
+        assert (got[k]["host"], got[k]["path"], got[k]["rule"]) == (host, path, fit and fit[0]), u
+        assert got[k]["verdict"] == (fit[1] if fit else "block" if u and "casino" in u else "allow"), u
+    assert url_filter.judge(pages, labelled.where("false")).count() == len(urls)
+    assert url_filter.judge(pages.where("false"), labelled).count() == 0
+
+
+# --- mixing
+
+
+def test_mixing_meets_targets(spark):
+    rng = random.Random(14)
+    rows = [(k, " ".join(rng.choice(["alpha", "beta"] if k % 4 else ["gamma", "delta"]) for _ in range(50))) for k in range(400)] + [(400, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    domains = spark.createDataFrame([(k, "a" if k % 4 else "b") for k in range(0, 400, 3)] + [(9999, "a")], "doc_id long, domain string")
+    got = mixing.mix(df, domains, {"a": 0.5, "b": 0.5}).collect()
+    total = sum(r["n_tokens"] for r in got)
+    share = [sum(r["n_tokens"] * r["p"][k] * r["rate"] for r in got) / total for k in range(2)]
+    assert share == pytest.approx([0.5, 0.5], abs=0.01) and all(r["rate"] >= 0 for r in got)
+    assert len(mixing.apply(df, domains, {"a": 0.5, "b": 0.5}).columns) == 2
+
+
+def test_mixing_fit_equals_projected_gradient(spark):
+    rng = np.random.default_rng(3)
+    n, p = rng.integers(1, 50, 60), rng.dirichlet([0.3] * 3, 60)
+    df = spark.createDataFrame([(int(a), list(map(float, b))) for a, b in zip(n, p)], "n_tokens long, p array<double>")
+    target, ridge, w = np.array([0.9, 0.08, 0.02]), 0.05, n / n.sum()
+    theta, _ = mixing.fit(df, target.tolist(), ridge=ridge)
+    r = np.ones(60)
+    for _ in range(20_000):
+        off = (w * r) @ p - target
+        r = np.maximum(0, r - 0.5 * (p @ off + ridge * (r - 1)))
+    assert np.maximum(0, 1 - p @ np.array(theta)) == pytest.approx(r, abs=1e-4)
+
+
+@pytest.mark.parametrize("make", [lambda d: bpe.encode(d, vocabulary_path()), exact_dedup.classes, simhash.near_duplicates, simhash.keep_one, quality.assess, quality.keep, pii.detect, substring_dedup.dedup, line_dedup.dedup, lambda d: langid.predict(d, langid.fit(d)), lambda d: mixing.apply(d, d.selectExpr("doc_id", "'good' as domain"))])
+def test_empty_tables(spark, make):
+    assert make(spark.createDataFrame([], SCHEMA)).count() == 0
