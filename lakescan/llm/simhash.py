@@ -43,6 +43,8 @@ from lakescan.llm.components import components
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = tuple(combinations(range(3), 2))
 SEED, BLOCK = 42, 1 << 15
+#: Differing bits of a link; the segments and the groups around points are made for three.
+BITS = 3
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -122,37 +124,39 @@ def _crowded(fps: DataFrame) -> DataFrame:
     return close.unionByName(far.select(F.col("fp").alias("a"), F.col("centre").alias("b")).distinct())
 
 
-def links(fps: DataFrame, bits: int = 3, bucket: int = 64) -> DataFrame:
-    """Edges a, b between different fingerprints (column fp) that connect all within ``bits`` bits, at most three."""
-    if not 0 <= bits <= 3:
-        raise ValueError("the segments find links of at most three bits")
+def links(fps: DataFrame, bucket: int = 64) -> DataFrame:
+    """Edges a, b between different fingerprints (column fp) within BITS bits, which connect all that are."""
     home = materialise(fps.mapInArrow(_keys(True), "key long, fp long"))
-    search = fps.mapInArrow(_keys(False), "key long, fp long")
+    search = fps.mapInArrow(_keys(False), "key long, fp long").withColumnRenamed("fp", "a")
     full = materialise(home.groupBy("key").count().where(F.col("count") > bucket).select("key"))
-    crowded = bits == 3 and not full.isEmpty()
-    held = home.join(full, "key", "left_anti") if crowded else home
-    found = search.withColumnRenamed("fp", "a").join(held.withColumnRenamed("fp", "b"), "key").where((F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits) & (F.col("a") != F.col("b"))).select("a", "b")
+    crowded = not full.isEmpty()
+    held = home.withColumnRenamed("fp", "b")
+    if crowded:  # one mark instead of the homes of a full bucket, so that the search keys are dealt out once
+        held = held.join(full, "key", "left_anti").unionByName(full.select("key", F.lit(None).cast("long").alias("b")))
+    close = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS) & (F.col("a") != F.col("b"))
+    found = search.join(held, "key").where(F.col("b").isNull() | close).select("a", "b")
     if crowded:
-        found = found.unionByName(_crowded(search.join(full, "key", "left_semi").select("fp").distinct()))
+        found = materialise(found)
+        found = found.where("b is not null").unionByName(_crowded(found.where("b is null").select(F.col("a").alias("fp")).distinct()))
     return found
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3, bucket: int = 64) -> DataFrame:
-    """doc_id, th, fp, component_id: the least doc_id reachable over links of at most ``bits`` bits."""
+def near_duplicates(docs: DataFrame, shingle: int = 3, bucket: int = 64) -> DataFrame:
+    """doc_id, th, fp, component_id: the least doc_id reachable over links."""
     signed = materialise(signatures(docs, shingle))
     fps = materialise(signed.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
-    roots = components(links(fps.select("fp"), bits, bucket)).withColumnRenamed("node", "fp")
+    roots = components(links(fps.select("fp"), bucket)).withColumnRenamed("node", "fp")
     rooted = materialise(fps.join(roots, "fp", "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root")))
     named = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     return signed.join(rooted.join(named, "root").select("fp", "component_id"), "fp")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """The rows of docs, one for each component: that of the least doc_id (a null id counts as the largest).
 
     Rows equal in doc_id and text count as one.  All columns stay as they are.
     """
-    found = materialise(near_duplicates(docs, shingle, bits).select("doc_id", "th", "component_id"))
+    found = materialise(near_duplicates(docs, shingle).select("doc_id", "th", "component_id"))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     kept = found.groupBy("component_id").agg(F.min(first).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.th").alias("__th"))
     out = docs.withColumn("__h", F.xxhash64(whole_text()))
