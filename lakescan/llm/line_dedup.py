@@ -29,26 +29,29 @@ from lakescan.llm.common import whole_text
 
 DEPTH, SHORTEST, WIDE, LEAST = 3, 3, 8, 5
 #: A token with a digit, looked for at starts of tokens only, without going back.
-VARIABLE = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
+VARIABLE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    lines = rows.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    line = F.trim(F.translate("raw", "\t\r", "  "))
-    line = F.when(line.rlike("[0-9]"), F.regexp_replace(line, VARIABLE, "<*>")).otherwise(line)
-    return lines.select("doc_id", "th", "line", F.split(line, " ").alias("t"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("th"), F.split(whole_text(), "\n").alias("lines"))
+    # Without the text, which each line would carry along.  The outer forms keep the optimiser from repeating the whole expression in a filter below.
+    lines = rows.select("doc_id", "th", F.posexplode_outer("lines").alias("line", "raw"))
+    lines = lines.select("doc_id", "th", "line", F.btrim("raw", F.lit(" \t\r")).alias("raw"))
+    masked = F.when(F.col("raw").rlike("[0-9]"), F.regexp_replace("raw", VARIABLE, "<*>")).otherwise(F.col("raw"))
+    return lines.select("doc_id", "th", "line", F.split(masked, "[ \t\r]+").alias("t"))
 
 
 def templates(docs: DataFrame, depth: int = DEPTH, shortest: int = SHORTEST, wide: int = WIDE) -> DataFrame:
     """doc_id, th, line, template: one to three rows for each line that is long enough."""
-    lines = _lines(docs).withColumn("n", F.size("t")).where(F.col("n") >= shortest)
+    lines = _lines(docs).withColumn("n", F.size("t"))
     half = F.ceil(F.col("n") / 2).cast("int")
     whole = F.xxhash64(F.lit(0), "n", "t")
     first = F.xxhash64(F.lit(1), "n", F.slice("t", 1, half))
     second = F.xxhash64(F.lit(2), "n", F.slice("t", 1, depth), F.slice("t", half + 1, F.col("n")))
-    keys = F.when(F.col("n") >= wide, F.array(whole, first, second)).otherwise(F.array(whole))
-    return lines.select("doc_id", "th", "line", keys.alias("keys")).select("doc_id", "th", "line", F.explode("keys").alias("template"))
+    none = F.array(F.lit(None).cast("long"))
+    keys = F.when(F.col("n") < shortest, none).when(F.col("n") >= wide, F.array(whole, first, second)).otherwise(F.array(whole))
+    keyed = lines.select("doc_id", "th", "line", keys.alias("keys"))
+    return keyed.select("doc_id", "th", "line", F.explode_outer("keys").alias("template")).where(F.col("template").isNotNull())
 
 
 def recurring(found: DataFrame, least: int = LEAST) -> DataFrame:
