@@ -81,21 +81,18 @@ def _chunks(text):
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * COMPARED + 1, F.lit(COMPARED)))
 
 
-def _with_text(keys: DataFrame, texts: DataFrame, doc_id: str, th: str) -> DataFrame:
-    named = texts.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "text")
-    return keys.join(named, F.col(doc_id).eqNullSafe(F.col("__d")) & (F.col(th) == F.col("__t"))).drop("__d", "__t")
-
-
-def _equal(members: DataFrame, texts: DataFrame, share: int) -> DataFrame:
-    """members: id, m_th, rep, rep_th, n.  id, m_th, same: whether the text is the representative's."""
-    shares = F.ceil(F.col("n") / share).cast("int")
-    own = members.withColumn("salt", F.pmod(F.xxhash64("id", "m_th"), shares).cast("int"))
-    own = _with_text(own, texts, "id", "m_th").select("id", "m_th", "rep", "rep_th", "salt", F.posexplode(_chunks(F.col("text"))).alias("k", "chunk"))
-    held = members.select(F.col("rep").alias("h_rep"), F.col("rep_th").alias("h_th"), shares.alias("shares")).distinct()
-    held = _with_text(held, texts, "h_rep", "h_th").select("h_rep", "h_th", "shares", F.posexplode(_chunks(F.col("text"))).alias("h_k", "h_chunk"))
-    held = held.withColumn("h_salt", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+def _equal(put: DataFrame, texts: DataFrame, share: int) -> DataFrame:
+    """put: doc_id, th, rep, rep_th, n, is_rep of groups of several.  id, i_th, same: whether the text is the representative's.
+
+    Texts are joined once; what is compared is written as chunks.
+    """
+    keys = put.select(*(F.col(c).alias(f"p_{c}") for c in ("doc_id", "th")), "rep", "rep_th", "n", "is_rep")
+    rows = texts.join(keys, F.col("doc_id").eqNullSafe(F.col("p_doc_id")) & (F.col("th") == F.col("p_th")))
+    chunks = materialise(rows.select("doc_id", "th", "rep", "rep_th", F.ceil(F.col("n") / share).cast("int").alias("shares"), "is_rep", F.posexplode_outer(_chunks(F.col("text"))).alias("k", "chunk")))
+    own = chunks.where(~F.col("is_rep")).select(F.col("doc_id").alias("id"), F.col("th").alias("i_th"), "rep", "rep_th", "k", "chunk", F.pmod(F.xxhash64("doc_id", "th"), F.col("shares")).cast("int").alias("salt"))
+    held = chunks.where("is_rep").select(F.col("rep").alias("h_rep"), F.col("rep_th").alias("h_th"), F.col("k").alias("h_k"), F.col("chunk").alias("h_chunk"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("h_salt"))
     on = F.col("rep").eqNullSafe(F.col("h_rep")) & (F.col("rep_th") == F.col("h_th")) & (F.col("k") == F.col("h_k")) & (F.col("salt") == F.col("h_salt"))
-    return own.join(held, on).groupBy("id", "m_th").agg(F.min(F.col("chunk") == F.col("h_chunk")).alias("same"))
+    return own.join(held, on).groupBy("id", "i_th").agg(F.min(F.col("chunk") == F.col("h_chunk")).alias("same"))
 
 
 def classes(docs: DataFrame, share: int = 256) -> DataFrame:
@@ -105,20 +102,19 @@ def classes(docs: DataFrame, share: int = 256) -> DataFrame:
     # Rows equal in doc_id and text are one member; so every member has a key (doc_id, th).
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).withColumn("th", F.xxhash64("text"))
     left = signed.groupBy(*alike, "doc_id", "th").agg(F.count(F.lit(1)).alias("rows"))
-    is_rep = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("th") == F.col("rep_th"))
-    columns = [*alike, "doc_id", "th", "rows", "rep", "rep_th"]
+    columns = [*alike, "doc_id", "th", "rows", "rep", "rep_th", "is_rep"]
     done: DataFrame | None = None
     while True:
         top = left.groupBy(*alike).agg(F.max(F.struct(F.col("doc_id"), F.col("th"))).alias("top"), F.count(F.lit(1)).alias("n"))
-        put = materialise(left.join(top, alike).select(*alike, "doc_id", "th", "rows", F.col("top.doc_id").alias("rep"), F.col("top.th").alias("rep_th"), "n"))
-        members = put.where(~is_rep).select(F.col("doc_id").alias("id"), F.col("th").alias("m_th"), "rep", "rep_th", "n")
-        if members.isEmpty():
+        put = left.join(top, alike).select(*alike, "doc_id", "th", "rows", F.col("top.doc_id").alias("rep"), F.col("top.th").alias("rep_th"), "n")
+        put = materialise(put.withColumn("is_rep", F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("th") == F.col("rep_th"))))
+        several = put.where("n > 1")
+        if several.isEmpty():
             same, rest = put, None
         else:
-            compared = materialise(_equal(members, texts, share)).withColumnRenamed("m_th", "i_th")
-            compared = put.join(compared, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("i_th")), "left")
-            same = compared.where(is_rep | F.col("same"))
-            rest = compared.where(~is_rep & ~F.coalesce("same", F.lit(False))).select(*alike, "doc_id", "th", "rows")
+            compared = put.join(materialise(_equal(several, texts, share)), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("i_th")), "left")
+            same = compared.where(F.col("is_rep") | F.col("same"))
+            rest = compared.where(~F.col("is_rep") & ~F.coalesce("same", F.lit(False))).select(*alike, "doc_id", "th", "rows")
         done = same.select(*columns) if done is None else done.unionByName(same.select(*columns))
         if rest is None or rest.isEmpty():
             break
@@ -128,7 +124,7 @@ def classes(docs: DataFrame, share: int = 256) -> DataFrame:
     on = F.col("rep").eqNullSafe(F.col("s_rep"))
     for c in (*alike, "rep_th"):
         on = on & (F.col(c) == F.col(f"s_{c}"))
-    found = done.join(sizes, on).select(F.col("doc_id").alias("id"), F.col("th").alias("i_th"), F.col("rep").alias("keep_id"), "group_size", is_rep.alias("stays"))
+    found = done.join(sizes, on).select(F.col("doc_id").alias("id"), F.col("th").alias("i_th"), F.col("rep").alias("keep_id"), "group_size", F.col("is_rep").alias("stays"))
     out = signed.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("i_th")))
     first = F.row_number().over(Window.partitionBy("doc_id", "th").orderBy("text_sha256")) == 1
     return out.select("doc_id", "keep_id", "group_size", (F.col("stays") & first).alias("kept"), "text_sha256")
