@@ -105,8 +105,10 @@ def classes(docs: DataFrame, share: int = 256) -> DataFrame:
     columns = [*alike, "doc_id", "th", "rows", "rep", "rep_th", "is_rep"]
     done: DataFrame | None = None
     while True:
-        top = left.groupBy(*alike).agg(F.max(F.struct(F.col("doc_id"), F.col("th"))).alias("top"), F.count(F.lit(1)).alias("n"))
-        put = left.join(top, alike).select(*alike, "doc_id", "th", "rows", F.col("top.doc_id").alias("rep"), F.col("top.th").alias("rep_th"), "n")
+        # Only groups of several are joined back: few rows, and a join whose hot groups can be split.
+        top = materialise(left.groupBy(*alike).agg(F.max(F.struct(F.col("doc_id"), F.col("th"))).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+        own = F.coalesce("top", F.struct("doc_id", "th"))
+        put = left.join(top, alike, "left").select(*alike, "doc_id", "th", "rows", own["doc_id"].alias("rep"), own["th"].alias("rep_th"), F.coalesce("n", F.lit(1)).alias("n"))
         put = materialise(put.withColumn("is_rep", F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("th") == F.col("rep_th"))))
         several = put.where("n > 1")
         if several.isEmpty():
@@ -120,11 +122,12 @@ def classes(docs: DataFrame, share: int = 256) -> DataFrame:
             break
         left = materialise(rest)
     done = materialise(done)
-    sizes = done.groupBy(*alike, "rep", "rep_th").agg(F.sum("rows").alias("group_size")).select(*(F.col(c).alias(f"s_{c}") for c in [*alike, "rep", "rep_th"]), "group_size")
+    sizes = done.groupBy(*alike, "rep", "rep_th").agg(F.sum("rows").alias("group_size")).where("group_size > 1")
+    sizes = materialise(sizes.select(*(F.col(c).alias(f"s_{c}") for c in [*alike, "rep", "rep_th"]), "group_size"))
     on = F.col("rep").eqNullSafe(F.col("s_rep"))
     for c in (*alike, "rep_th"):
         on = on & (F.col(c) == F.col(f"s_{c}"))
-    found = done.join(sizes, on).select(F.col("doc_id").alias("id"), F.col("th").alias("i_th"), F.col("rep").alias("keep_id"), "group_size", F.col("is_rep").alias("stays"))
+    found = done.join(sizes, on, "left").select(F.col("doc_id").alias("id"), F.col("th").alias("i_th"), F.col("rep").alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), F.col("is_rep").alias("stays"))
     out = signed.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("i_th")))
     first = F.row_number().over(Window.partitionBy("doc_id", "th").orderBy("text_sha256")) == 1
     return out.select("doc_id", "keep_id", "group_size", (F.col("stays") & first).alias("kept"), "text_sha256")
