@@ -46,6 +46,10 @@ def counted(text: str) -> Counter:
                 end += 1
         out.update(WORD.findall(text[at:end].lower()))
         at = end
+    for w in [w for w in out if not w.isalpha()]:  # the pattern also takes numerals that aren't decimal digits
+        n = out.pop(w)
+        for part in "".join(c if c.isalpha() else " " for c in w).split():
+            out[part] += n
     return out
 
 
