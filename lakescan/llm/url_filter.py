@@ -21,6 +21,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakescan.llm.common import materialise
+
 #: Verdict, host and path of the contract's rules.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -61,6 +63,7 @@ def mine(labelled: DataFrame, support: float, confidence: float) -> DataFrame:
     items = labelled.select(F.when(F.coalesce(F.col("bad"), F.lit(False)), F.array_append(tokens(), F.lit(BAD))).otherwise(tokens()).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
     rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD)).select(F.array_sort("antecedent").alias("rule_tokens"), "confidence", "support")
+    rules = materialise(rules)  # a few rows; used three times
     # A rule whose antecedent holds another rule's adds nothing: that one fires as well.  Least support bounds their number.
     one = rules.where(F.size("rule_tokens") == 1).select(F.col("rule_tokens")[0].alias("token"))
     wide = rules.where(F.size("rule_tokens") > 1).withColumn("token", F.explode("rule_tokens"))
@@ -83,7 +86,7 @@ def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, support: float = 0
     """
     known = parsed(labelled.select("url", "bad"))
     mined = index(mine(known, support, confidence), known)
-    rows = parsed(pages)
+    rows = parsed(pages.drop("mined_confidence"))
     looked = rows.select("host", "path").distinct().withColumn("tokens", tokens())
     hits = looked.select("host", "path", "tokens", F.explode("tokens").alias("token")).join(mined, "token")
     hits = hits.where(F.size(F.array_except("rule_tokens", "tokens")) == 0).groupBy("host", "path").agg(F.max("confidence").alias("mined_confidence"))
