@@ -106,16 +106,20 @@ def remove(text: str, lost: set[int], span: int = SPAN) -> tuple[str, int, int]:
 
 
 def dedup(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """doc_id, text (what is left), removed_bytes, n_repeated, has_repeat: a row for each row."""
+    """doc_id, text (what is left), removed_bytes, n_removed and n_shared units, has_repeat: a row for each row.
+
+    n_shared also counts the units that this document keeps because it is the first that holds them.
+    """
     found = digests(docs, span)
     shared = found.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first_doc")
-    lost = found.join(shared, "digest").where("doc_id != first_doc").groupBy("doc_id").agg(F.collect_list("digest").alias("lost")).withColumnRenamed("doc_id", "__id")
+    lost = F.collect_list(F.when(F.col("doc_id") != F.col("first_doc"), F.col("digest"))).alias("lost")
+    lost = found.join(shared, "digest").groupBy("doc_id").agg(lost, F.count(F.lit(1)).alias("n_shared")).withColumnRenamed("doc_id", "__id")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     rows = rows.join(lost, F.col("doc_id") == F.col("__id"), "left")
 
-    def one(doc_id, text, lost):
+    def one(doc_id, text, lost, shared):
         text, removed, n = remove(text, set(lost or ()), span)
-        return doc_id, text, removed, n, n > 0
+        return doc_id, text, removed, n, shared or 0, bool(n or shared)
 
-    fields = [("doc_id", "long", pa.int64()), ("text", "string", pa.string()), ("removed_bytes", "long", pa.int64()), ("n_repeated", "long", pa.int64()), ("has_repeat", "boolean", pa.bool_())]
-    return map_rows(rows, ["doc_id", "text", "lost"], lambda: one, fields)
+    fields = [("doc_id", "long", pa.int64()), ("text", "string", pa.string()), ("removed_bytes", "long", pa.int64()), ("n_removed", "long", pa.int64()), ("n_shared", "long", pa.int64()), ("has_repeat", "boolean", pa.bool_())]
+    return map_rows(rows, ["doc_id", "text", "lost", "n_shared"], lambda: one, fields)
