@@ -17,6 +17,7 @@ from lakescan.sources.files import needed
 from lakescan.sources.inference import FALSE, FLOAT, INTEGER, SAMPLE, TRUE, widened
 
 FORMATS = ("auto", "array", "ndjson")
+MISFIT = "__misfit"
 
 
 def _kind(value) -> str:
@@ -32,7 +33,7 @@ def _kind(value) -> str:
 def _typed(value: Column, kind: str) -> Column:
     """A column of one kind out of a variant, by what the value is."""
     what = F.schema_of_variant(value)
-    number = what.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$")
+    number = (what == "BIGINT") | (what == "DOUBLE") | what.startswith("DECIMAL")
     text = F.try_variant_get(value, "$", "string")
     if kind == "bigint":
         real = F.try_variant_get(value, "$", "double").try_cast("bigint")
@@ -51,6 +52,7 @@ def read(spark: SparkSession, path: str, form: str = "auto", sample: int = SAMPL
     if form not in FORMATS:
         raise ValueError(f"the format is one of {', '.join(FORMATS)}")
     needed(spark, path)
+    records = None
     lines = spark.read.text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("value")).where(F.btrim("value", F.lit(" \t\r")) != "")
     first = lines.select(F.substring(F.ltrim("value"), 1, 1).alias("c")).first()
     if first is None:
@@ -61,8 +63,6 @@ def read(spark: SparkSession, path: str, form: str = "auto", sample: int = SAMPL
         records = whole.select(F.explode(parsed).alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
         texts = [r["t"] for r in records.select(F.to_json("v").alias("t")).limit(sample).collect()]
     else:
-        bad = F.raise_error(F.concat(F.lit("malformed record: "), F.substring("value", 1, 80)))
-        records = lines.select(F.coalesce(F.try_parse_json("value"), bad).alias("v"))
         texts = [r["value"] for r in lines.limit(sample).collect()]
     kinds: dict[str, set[str]] = {}
     for k, t in enumerate(texts):
@@ -74,6 +74,25 @@ def read(spark: SparkSession, path: str, form: str = "auto", sample: int = SAMPL
             kinds.setdefault(name, set()).add(_kind(record[name]))
     if not texts or not kinds:
         raise OSError(f"{path} has no records")
-    fields = F.try_variant_get("v", "$", "map<string,variant>")
-    rows = records.select(fields.alias("m"))
-    return rows.select(*(_typed(F.col("m")[name], widened(k) if k != {"void"} else "void").alias(name) for name, k in kinds.items()))
+    typed = {name: widened(k) if k != {"void"} else "void" for name, k in kinds.items()}
+    if records is None:
+        return _lines(lines, typed)
+    rows = records.select(F.try_variant_get("v", "$", "map<string,variant>").alias("m"))
+    return rows.select(*(_typed(F.col("m")[name], kind).alias(name) for name, kind in typed.items()))
+
+
+def _lines(lines: DataFrame, typed: dict[str, str]) -> DataFrame:
+    """Each line is parsed once into the types; only lines that don't fit them are parsed into variants."""
+    field = {"bigint": "bigint", "double": "double", "boolean": "boolean"}
+    names = [f"`{n.replace('`', '``')}` {field.get(k, 'variant')}" for n, k in typed.items()]
+    parsed = F.from_json("value", f"struct<{', '.join([*names, f'`{MISFIT}` string'])}>", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": MISFIT})
+    rows = lines.select("value", parsed.alias("t"))
+    misfit = F.col("t").isNull() | F.col("t")[MISFIT].isNotNull()
+    bad = F.raise_error(F.concat(F.lit("malformed record: "), F.substring("value", 1, 80)))
+    rows = rows.select("t", misfit.alias("misfit"), F.when(misfit, F.coalesce(F.try_parse_json("value"), bad)).alias("v"))
+    rows = rows.select("t", "misfit", F.when(F.col("misfit"), F.try_variant_get("v", "$", "map<string,variant>")).alias("m"))
+    out = []
+    for name, kind in typed.items():
+        own = F.col("t")[name]
+        out.append(F.when(F.col("misfit"), _typed(F.col("m")[name], kind)).otherwise(own if kind in field else _typed(own, kind)).alias(name))
+    return rows.select(*out)
