@@ -2,7 +2,8 @@
 
 A gear hash rolls over the bytes: each step shifts the hash by one bit and adds a random number
 for the byte, so that its 16 bits depend on the last 16 bytes.  Where the upper bits are zero, a
-chunk ends, so boundaries move with the text when something is inserted before it.  A unit begins
+chunk ends, so boundaries move with the text when something is inserted before it.  Where none comes
+for long, hashes that are the least around them make some, in periodic text one a period.  A unit begins
 at each boundary and joins chunks until it spans ``span`` bytes.  Units are deduplicated by
 digest: the least doc_id that holds a digest keeps it, all others lose it; within a
 text the first place keeps it.  What is lost is the union of lost units.
@@ -29,11 +30,21 @@ from pyspark.sql import functions as F
 from lakescan.llm.common import map_rows, whole_text
 
 GEAR = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 16, 256, dtype=np.uint16)
-#: Upper bits that are zero at a boundary (a mean chunk of 2 ** BITS bytes), the longest chunk.
-BITS, LONGEST = 5, 1024
+#: Upper bits that are zero at a boundary (a mean chunk of 2 ** BITS bytes); longer gaps get more boundaries.
+BITS, LONGEST = 5, 128
 SPAN = 80
 
 
+def low_points(h: np.ndarray, around: int = 64) -> np.ndarray:
+    """Where a value is the least of the window that it is the middle of."""
+    least, width = h, 1
+    while width < around:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    middle = around // 2
+    return np.flatnonzero(h[middle : middle + len(least)] == least) + middle
+
+
 def cuts(data: bytes) -> np.ndarray:
     """Ends of chunks, 0 first, always between characters."""
     raw = np.frombuffer(data, np.uint8)
@@ -43,8 +54,11 @@ def cuts(data: bytes) -> np.ndarray:
             h[step:] = h[step:] + (h[:-step] << np.uint16(step))
     at = np.flatnonzero(h < 1 << 16 - BITS) + 1
     at = np.concatenate(([0], at[at < len(raw)], [len(raw)]))
-    if len(wide := np.flatnonzero(np.diff(at) > LONGEST)):
-        at = np.unique(np.concatenate([at, *(np.arange(at[k], at[k + 1], LONGEST) for k in wide)]))
+    # Periodic text may have no boundary at all: there a hash that is the least around it marks one, in each period.
+    more = [low_points(h[at[k] : at[k + 1]]) + at[k] + 1 for k in np.flatnonzero(np.diff(at) > LONGEST)]
+    at = np.unique(np.concatenate([at, *more]))
+    if len(wide := np.flatnonzero(np.diff(at) > 8 * LONGEST)):
+        at = np.unique(np.concatenate([at, *(np.arange(at[k], at[k + 1], 8 * LONGEST) for k in wide)]))
     inner = at[(at > 0) & (at < len(raw))]
     while len(bad := np.flatnonzero((raw[inner] & 0xC0) == 0x80)):
         inner[bad] += 1

@@ -346,7 +346,11 @@ def test_cuts_resist_shifts_and_keep_characters():
     assert len(a & b) > 0.95 * len(a)
     at = substring_dedup.cuts(t)
     assert all(t[x:y].decode() for x, y in zip(at, at[1:])) and at[0] == 0 and at[-1] == len(t)
-    assert max(np.diff(substring_dedup.cuts(b"a" * 9999))) <= substring_dedup.LONGEST
+    assert max(np.diff(substring_dedup.cuts(b"a" * 9999))) <= 8 * substring_dedup.LONGEST
+    for word in ("Of ", "thly ", "a", "über "):  # runs are found wherever they begin
+        runs = [("xyz " * k + word * n).encode() for k, n in ((0, 900), (3, 250), (7, 400))]
+        shared = [{d for *_, d in substring_dedup.units(r)} for r in runs]
+        assert shared[0] & shared[1] & shared[2]
 
 
 # --- lines
