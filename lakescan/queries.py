@@ -144,6 +144,18 @@ def pricing_summary(s, d):
     )
 
 
+@query("nation_year_revenue", """SELECT n_name, CAST(year(o_orderdate) AS INTEGER) AS o_year, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+    FROM part, supplier, lineitem, orders, nation
+    WHERE s_suppkey = l_suppkey AND p_partkey = l_partkey AND o_orderkey = l_orderkey AND s_nationkey = n_nationkey AND p_size > 25 GROUP BY ALL""")
+def nation_year_revenue(s, d):
+    lines = scanned(s, d, "lineitem").df
+    parts = scanned(s, d, "part").df.filter("p_size > 25").select("p_partkey")
+    sellers = scanned(s, d, "supplier").df.join(scanned(s, d, "nation").df, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
+    df = lines.join(parts, lines["l_partkey"] == parts["p_partkey"]).join(sellers, lines["l_suppkey"] == sellers["s_suppkey"])
+    df = df.join(scanned(s, d, "orders").df, F.col("o_orderkey") == F.col("l_orderkey"))
+    return df.groupBy("n_name", F.year("o_orderdate").alias("o_year")).agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
 # --- order, sets
 
 
@@ -208,7 +220,7 @@ query("with_column", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (
 query("cast", "SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey FROM orders")(lambda s, d: batch(s, d, "orders").select(["o_orderkey", "o_custkey"]).cast("o_custkey", "string").df)
 query("try_cast", "SELECT o_orderkey, try_cast(o_orderpriority AS INTEGER) AS p FROM orders")(lambda s, d: batch(s, d, "orders").with_column("p", cast(col("o_orderpriority"), "int")).select(["o_orderkey", "p"]).df)
 query("case", "SELECT event_id, CASE WHEN value > 80 THEN 'high' WHEN value > 20 THEN 'mid' ELSE 'low' END AS band FROM events")(lambda s, d: batch(s, d, "events").with_column("band", case([(col("value") > 80.0, "high"), (col("value") > 20.0, "mid")], "low")).select(["event_id", "band"]).df)
-query("window_rank", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS rank FROM orders")(lambda s, d: relational.ranked(batch(s, d, "orders").df, ["o_custkey"], [("o_totalprice", False), "o_orderkey"]).select("o_orderkey", "rank"))
+query("window_rank", "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS INTEGER) AS rank FROM orders")(lambda s, d: relational.ranked(batch(s, d, "orders").df, ["o_custkey"], [("o_totalprice", False), "o_orderkey"]).select("o_orderkey", "rank"))
 query("window_sum", "SELECT l_orderkey, l_linenumber, CAST(sum(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS parts FROM lineitem")(lambda s, d: relational.running(batch(s, d, "lineitem").df, ["l_orderkey"], ["l_linenumber", "l_partkey"], "sum", "l_partkey", "parts").select("l_orderkey", "l_linenumber", "parts"))
 query("window_lag", "SELECT event_id, lag(event_id, 1) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events")(lambda s, d: relational.shifted(batch(s, d, "events").df, ["user_id"], ["ts", "event_id"], "event_id", 1, "previous").select("event_id", "previous"))
 
