@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakescan.llm import golay
+from lakescan.llm import golay, similar
 from lakescan.llm.common import map_rows, materialise, whole_text
 from lakescan.llm.components import components
 
@@ -151,12 +151,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bucket: int = 64) -> Data
     return signed.join(rooted.join(named, "root").select("fp", "component_id"), "fp")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """The rows of docs, one for each component: that of the least doc_id (a null id counts as the largest).
+def similar_texts(docs: DataFrame, bucket: int = 64) -> DataFrame:
+    """doc_id, th, component_id: the least doc_id reachable over five-word similarities of 0.8 or more.
+
+    Candidates are the links of fingerprints, found by Golay keys, and min-wise bands (see ``similar``).
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).withColumn("th", F.xxhash64("text"))
+    fields = [("doc_id", "long", pa.int64()), ("th", "long", pa.int64()), ("fp", "long", pa.int64()), ("keys", "array<bigint>", pa.list_(pa.int64()))]
+    signed = materialise(map_rows(rows, ["doc_id", "th", "text"], lambda: lambda d, th, text: (d, th, fingerprint(text), similar.band_keys(text)), fields))
+    texts = materialise(signed.groupBy("th").agg(F.min("doc_id").alias("first_doc"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    homes = materialise(texts.groupBy("fp").agg(F.min("th").alias("home")))
+    near = links(homes.select("fp"), bucket).join(homes.select(F.col("fp").alias("a"), F.col("home").alias("x")), "a").join(homes.select(F.col("fp").alias("b"), F.col("home").alias("y")), "b")
+    same = texts.select("th", "fp").join(homes, "fp").select(F.col("th").alias("a"), F.col("home").alias("b"))
+    found = similar.links(texts, docs, near.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(same))
+    rooted = texts.join(components(found).withColumnRenamed("node", "th"), "th", "left").select("th", "first_doc", F.coalesce("root", "th").alias("root"))
+    rooted = materialise(rooted)
+    named = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
+    return signed.select("doc_id", "th").join(rooted.join(named, "root").select("th", "component_id"), "th")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs, one for each component of ``similar_texts``: that of the least doc_id (a null id counts as the largest).
 
     Rows equal in doc_id and text count as one.  All columns stay as they are.
     """
-    found = materialise(near_duplicates(docs, shingle).select("doc_id", "th", "component_id"))
+    found = materialise(similar_texts(docs))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     kept = found.groupBy("component_id").agg(F.min(first).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.th").alias("__th"))
     out = docs.withColumn("__h", F.xxhash64(whole_text()))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lakescan.llm import bpe, exact_dedup, golay, langid, line_dedup, mixing, pii, quality, simhash, substring_dedup, url_filter
+from lakescan.llm import bpe, exact_dedup, golay, langid, line_dedup, mixing, pii, quality, similar, simhash, substring_dedup, url_filter
 from lakescan.llm.components import components
 from lakescan.llm.queries import vocabulary_path
 
@@ -102,7 +102,7 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
-def brute_components(fps, ids=None):
+def brute_components(fps, ids=None, linked=lambda x, y: (x ^ y).bit_count() <= 3):
     ids = ids or list(range(len(fps)))
     root = list(range(len(fps)))
 
@@ -113,7 +113,7 @@ def brute_components(fps, ids=None):
 
     for i in range(len(fps)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 3:
+            if linked(fps[i], fps[j]):
                 root[find(i)] = find(j)
     least = defaultdict(lambda: 1 << 70)
     for i in range(len(fps)):
@@ -121,6 +121,13 @@ def brute_components(fps, ids=None):
     return [least[find(i)] for i in range(len(fps))]
 
 
+def brute_similar(texts, ids=None):
+    """Components by sets of five-word shingles with a Jaccard similarity of 0.8 or more."""
+    split = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in split]
+    return brute_components(sets, ids, lambda x, y: 5 * len(x & y) >= 4 * len(x | y))
+
+
 def test_golay_code_is_perfect_and_meets():
     rng = random.Random(2)
     for _ in range(300):
@@ -146,7 +153,40 @@ def test_simhash_equals_brute_force(spark, texts, monkeypatch):
     assert [got[k]["component_id"] for k in range(len(both))] == brute_components(list(map(brute_fingerprint, both)))
     kept = simhash.keep_one(documents(spark, both))
     assert kept.columns == documents(spark, both).columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(brute_components(list(map(brute_fingerprint, both)))))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(brute_similar(both)))
+
+
+def test_similar_texts_equal_brute_force(spark, monkeypatch):
+    """Edited copies, chains of copies of copies, long texts, groups that share most words but are not similar."""
+    monkeypatch.setattr(similar, "BLOCK", 30)
+    rng = random.Random(8)
+    texts = [None, "", " \n", "one two", "One TWO", "one two three"]
+    for size in (12, 60, 300, 4000):
+        w = [f"w{rng.randrange(900)}" for _ in range(size)]
+        for edits in (0, 0, 1, 1, 2, 5, 9):
+            v = w.copy()
+            for _ in range(edits):
+                v[rng.randrange(size)] = f"new{rng.randrange(99)}"
+            texts.append(" ".join(v))
+    chain = [f"c{k}" for k in range(100)]
+    for k in range(15):
+        chain[6 * k] = f"d{k}"
+        texts.append("\n".join(chain))
+    shared = " ".join(f"s{k}" for k in range(60))
+    texts += [f"{shared} " + " ".join(f"o{rng.randrange(10**6)}" for _ in range(rng.choice([5, 10, 20, 40]))) for _ in range(60)]
+    got = rows_of(simhash.similar_texts(documents(spark, texts)))
+    want = brute_similar(texts)
+    assert [got[k]["component_id"] for k in range(len(texts))] == want
+    assert 20 < len(set(want)) < len(texts) - 20
+
+
+@pytest.mark.parametrize("share", [1, 256])
+def test_similar_verifies_shared_rows(spark, share):
+    texts = ["a b c d e f g h", "a b c d e f g h i", "a b c d", "", "x y z"]
+    sets = spark.createDataFrame([(k, bytearray(similar.shingles(t).tobytes())) for k, t in enumerate(texts)], "th long, set binary")
+    pairs = spark.createDataFrame([(k, 0) for k in range(1, 5)], "a long, b long")
+    got = {r["a"]: (r["near"], r["d"]) for r in similar.verify(pairs, sets, share).collect()}
+    assert got == {1: (True, pytest.approx(0.2)), 2: (False, 1.0), 3: (False, 1.0), 4: (False, 1.0)}
 
 
 @pytest.mark.parametrize("bucket", [64, 2])

@@ -7,7 +7,7 @@ import pytest
 
 from lakescan.llm import mixing, simhash
 from lakescan.llm.queries import QUERIES, vocabulary_path
-from tests.llm.test_operators import brute_base, brute_components, brute_fingerprint, brute_quality, brute_url
+from tests.llm.test_operators import brute_base, brute_components, brute_fingerprint, brute_quality, brute_similar, brute_url
 
 BASE = "/root/testdata/sf0.001"
 
@@ -100,8 +100,7 @@ def test_pipeline_stages(spark, docs):
     lines = stages["line dedup"](spark, table, BASE)
     assert lines.columns == table.columns and lines.count() == len(docs)
     near = stages["simhash near-dedup"](spark, table, BASE)
-    fps = [brute_fingerprint(docs[k]["text"]) for k in sorted(docs)]
-    assert near.columns == table.columns and sorted(r["doc_id"] for r in near.collect()) == sorted(set(brute_components(fps, sorted(docs))))
+    assert near.columns == table.columns and sorted(r["doc_id"] for r in near.collect()) == sorted(set(brute_similar([docs[k]["text"] for k in sorted(docs)], sorted(docs))))
     mixed = stages["mixing"](spark, table, BASE)
     assert mixed.columns == table.columns and 0.8 * len(docs) < mixed.count() < 1.2 * len(docs)
     final = corpus_pipeline.run(spark, BASE).collect()
