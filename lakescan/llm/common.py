@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -36,6 +37,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table in the shared folder.  Unlike a checkpoint's, its size is known to the
+    planner, which so decides by size whether to broadcast it."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def whole_text(column: str = "text"):
     """The text, null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

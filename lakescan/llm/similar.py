@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakescan.llm.common import map_rows, materialise, whole_text
+from lakescan.llm.common import map_rows, materialise, whole_text, written
 from lakescan.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -50,6 +50,11 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(np.fromiter((h(joined[s : e - 1]) for s, e in zip(ends[:n], ends[min(SHINGLE, len(words)) :], strict=False)), np.uint64, n))
 
 
+def held_set(text: str) -> bytes:
+    """The shingles' upper 32 bits, sorted.  Two texts of n shingles share n * n / 2 ** 32 by chance."""
+    return np.unique((shingles(text) >> np.uint64(32)).astype(np.uint32)).tobytes()
+
+
 def band_keys(text: str) -> list[int]:
     found, least = shingles(text), np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(found), BLOCK):
@@ -62,7 +67,7 @@ def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         near, far = [], []
         for x, y in zip(b.column("a_set"), b.column("b_set"), strict=True):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            x, y = (np.frombuffer(v.as_buffer(), np.uint32) for v in (x, y))
             both = len(np.intersect1d(x, y, assume_unique=True))
             union = len(x) + len(y) - both
             near.append(both >= SIMILARITY * union)
@@ -72,7 +77,8 @@ def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verify(pairs: DataFrame, sets: DataFrame, share: int = 256) -> DataFrame:
     """The pairs with their distance d and whether they are near.  What many pairs share is repeated for each ``share`` of them."""
-    many = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("shares"))
+    pairs = written(pairs)
+    many = written(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("shares")))
     own = pairs.join(many, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int")).drop("shares")
     held = sets.join(many.withColumnRenamed("b", "th"), "th").select(F.col("th").alias("b"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt"), F.col("set").alias("b_set"))
     both = own.join(sets.select(F.col("th").alias("a"), F.col("set").alias("a_set")), "a").join(held, ["b", "salt"])
@@ -88,10 +94,11 @@ def links(texts: DataFrame, docs: DataFrame, more: DataFrame, share: int = 256)
     left = materialise(left.drop("count").join(weights, "th"))
     pairs = more.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     needed = left.select("th").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("th"))).distinct()
+    needed = written(needed)
     texts_of = docs.select(whole_text().alias("text")).withColumn("th", F.xxhash64("text"))
     once = texts_of.join(needed, "th", "left_semi")
-    sets = map_rows(once, ["th", "text"], lambda: lambda th, text: (th, shingles(text).tobytes()), [("th", "long", pa.int64()), ("set", "binary", pa.binary())])
-    sets = materialise(sets.groupBy("th").agg(F.first("set").alias("set")))
+    sets = map_rows(once, ["th", "text"], lambda: lambda th, text: (th, held_set(text)), [("th", "long", pa.int64()), ("set", "binary", pa.binary())])
+    sets = written(sets.dropDuplicates(["th"]))
     found = materialise(verify(pairs.distinct(), sets, share).where("near").select("a", "b"))
     left, stand = left.withColumn("root", F.col("th")).withColumn("d", F.lit(0.0)), 1
     while not left.isEmpty():

@@ -183,7 +183,7 @@ def test_similar_texts_equal_brute_force(spark, monkeypatch):
 @pytest.mark.parametrize("share", [1, 256])
 def test_similar_verifies_shared_rows(spark, share):
     texts = ["a b c d e f g h", "a b c d e f g h i", "a b c d", "", "x y z"]
-    sets = spark.createDataFrame([(k, bytearray(similar.shingles(t).tobytes())) for k, t in enumerate(texts)], "th long, set binary")
+    sets = spark.createDataFrame([(k, bytearray(similar.held_set(t))) for k, t in enumerate(texts)], "th long, set binary")
     pairs = spark.createDataFrame([(k, 0) for k in range(1, 5)], "a long, b long")
     got = {r["a"]: (r["near"], r["d"]) for r in similar.verify(pairs, sets, share).collect()}
     assert got == {1: (True, pytest.approx(0.2)), 2: (False, 1.0), 3: (False, 1.0), 4: (False, 1.0)}
