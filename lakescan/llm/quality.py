@@ -1,11 +1,16 @@
 """Quality rules with adaptive thresholds.
 
 Fixed base rules reject very short and very repetitive texts.  Beyond them, each language
-and source has thresholds of its own: quantile sketches, which merge across tasks, give the
-quartiles of five ratios in that group, and a row is rejected if a ratio lies beyond the outer
-fences (quartiles plus ``reach`` times their distance, and never inside ``floor``).  Groups with
-fewer than ``least`` rows use the sketch of all rows.  The thresholds are joined to the rows; rows
-are not regrouped for it.
+and source has thresholds of its own, in both directions, from quantile sketches, which merge across
+tasks.  A ratio that the group's upper quartile shows is judged by outer fences: the group's quartiles
+plus ``reach`` times their distance (at least half of that of all rows, as copies can make it 0).  A ratio
+that is 0 up to the upper quartile has no such distance: its threshold is the ``tail`` quantile of
+those of the group's rows that lie within the fences, so that junk, which they find, doesn't hide there.
+
+A threshold lies between half and twice the same quantile of all rows.  Groups with
+fewer than ``least`` rows use the thresholds of all rows.  Constants decide only what can't be learned: ratios
+of which that quantile of all rows is 0, and all of them in tables with fewer than ``least`` good rows.
+The thresholds are joined to the rows; rows are not regrouped for it.
 
 Defined cases: a null text has no words and fails.  Null languages or sources form groups
 of their own.  Rows are judged one by one, so repeats get the same verdict.  An empty
@@ -22,8 +27,10 @@ from lakescan.llm.common import map_rows, materialise, whole_text
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: Ratio, whether small values are bad, whether large ones are, and the value that a fence never passes.
-RATIOS = (("mean_word", True, True, 2.0, 16.0), ("symbols", False, True, None, 0.1), ("dup_lines", False, True, None, 0.3), ("repeated", False, True, None, 0.15))
+#: Ratio, and the thresholds below and above it where none can be learned.
+RATIOS = (("mean_word", 2.0, 16.0), ("symbols", None, 0.1), ("dup_lines", None, 0.3), ("repeated", None, 0.15))
+#: Ratio, side, sign and default of each threshold.
+SIDES = tuple((r, side, sign, x) for r, low, high in RATIOS for side, sign, x in (("low", -1, low), ("high", 1, high)) if x is not None)
 
 
 def features(text: str | None, window: int = WINDOW) -> tuple[int, int, int, int, int, int]:
@@ -67,34 +74,61 @@ def _ratios(df: DataFrame) -> DataFrame:
     return df.select("*", (F.col("word_chars") / words).alias("mean_word"), (F.col("n_symbols") / F.greatest("word_chars", F.lit(1))).alias("symbols"), (F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))).alias("dup_lines"), (F.col("n_repeat_words") / words).alias("repeated"))
 
 
-def judged(counted: DataFrame, reach: float = 6.0, least: int = 50, accuracy: int = 1000) -> DataFrame:
+def _sketch(name: str, shares: list[float], accuracy: int):
+    return F.percentile_approx(name, F.array(*map(F.lit, shares)), accuracy)
+
+
+def thresholds(good: DataFrame, reach: float, least: int, tail: float, accuracy: int) -> tuple[DataFrame, dict[str, float]]:
+    """g_lang, g_source and the thresholds of each group that has its own; those of all rows."""
+    quartiles = [_sketch(r, [0.25, 0.75], accuracy).alias(f"q_{r}") for r, *_ in RATIOS]
+    tails = [_sketch(r, [1 - tail, tail], accuracy).alias(f"t_{r}") for r, *_ in RATIOS]
+    # One row for all: read once into literals.
+    whole = good.agg(F.count(F.lit(1)).alias("n"), *quartiles).first()
+    fixed = {f"{r}_{side}": x for r, side, _, x in SIDES}
+    if whole["n"] < least:
+        return good.sparkSession.createDataFrame([], "g_lang string, g_source string, " + ", ".join(f"g_{k} double" for k in fixed)), fixed
+    spread = {r: (whole[f"q_{r}"][1] - whole[f"q_{r}"][0]) / 2 for r, *_ in RATIOS}
+
+    def fences(q) -> dict:
+        """Null where the upper quartile is 0."""
+        return {f"{r}_{side}": F.when(q(r)[1] > 0, q(r)[1 if sign > 0 else 0] + sign * reach * F.greatest(q(r)[1] - q(r)[0], F.lit(spread[r]))) for r, side, sign, _ in SIDES}
+
+    def within(prefix: str):
+        inside = F.lit(True)
+        for r, side, sign, _ in SIDES:
+            inside = inside & F.coalesce(sign * F.col(r) <= sign * F.col(f"{prefix}{r}_{side}"), F.lit(True))
+        return inside
+
+    at_all = fences(lambda r: F.array(*map(F.lit, whole[f"q_{r}"])))
+    rest = good.withColumns({f"a_{k}": x for k, x in at_all.items()}).where(within("a_"))
+    ends = rest.agg(*tails, *(F.first(f"a_{k}").alias(k) for k in at_all)).first()
+    bound = {f"{r}_{side}": (ends[f"t_{r}"] or [0, 0])[sign > 0] for r, side, sign, _ in SIDES}
+
+    def limited(k: str, x):
+        return F.least(F.greatest(x, F.lit(bound[k] / 2)), F.lit(bound[k] * 2)) if bound[k] > 0 else F.lit(fixed[k])
+
+    own = good.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *quartiles).where(F.col("n") >= least)
+    own = own.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *(x.alias(f"f_{k}") for k, x in fences(lambda r: F.col(f"q_{r}")).items()))
+    rest = good.join(own, _same_group()).where(within("f_"))
+    groups = rest.groupBy("g_lang", "g_source").agg(*tails, *(F.first(f"f_{k}").alias(f"f_{k}") for k in fixed))
+    groups = groups.select("g_lang", "g_source", *(limited(k, F.coalesce(f"f_{k}", F.col(f"t_{r}")[int(sign > 0)])).alias(f"g_{k}") for r, side, sign, _ in SIDES for k in [f"{r}_{side}"]))
+    every = {k: min(max(bound[k] if ends[k] is None else ends[k], bound[k] / 2), bound[k] * 2) if bound[k] > 0 else fixed[k] for k in fixed}
+    return groups, every
+
+
+def _same_group():
+    return F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))
+
+
+def judged(counted: DataFrame, reach: float = 6.0, least: int = 50, tail: float = 0.99, accuracy: int = 1000) -> DataFrame:
     """The counts with base_failed and kept."""
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rows = _ratios(counted).withColumn("base_failed", failed)
-    sketches = [F.percentile_approx(r[0], F.array(F.lit(0.25), F.lit(0.75)), accuracy).alias(r[0]) for r in RATIOS]
-    good = rows.where(~F.col("base_failed"))
-
-    def fences(df: DataFrame, prefix: str) -> list:
-        out = []
-        for name, low, high, floor, ceil in RATIOS:
-            q1, q3 = F.col(name)[0], F.col(name)[1]
-            out.append((F.least(q1 - reach * (q3 - q1), F.lit(floor)) if low else F.lit(None).cast("double")).alias(f"{prefix}{name}_low"))
-            out.append((F.greatest(q3 + reach * (q3 - q1), F.lit(ceil)) if high else F.lit(None).cast("double")).alias(f"{prefix}{name}_high"))
-        return out
-
-    groups = good.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *sketches).where(F.col("n") >= least)
-    groups = groups.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *fences(groups, "g_"))
-    # One row for all: read once into literals.
-    whole = good.agg(F.count(F.lit(1)).alias("n"), *sketches)
-    whole = whole.select("n", *fences(whole, "a_")).first()
-    joined = rows.join(groups, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
+    groups, every = thresholds(rows.where(~F.col("base_failed")), reach, least, tail, accuracy)
     bad = F.lit(False)
-    for name, low, high, *_ in RATIOS:
-        for side, on in (("low", low), ("high", high)):
-            if on and whole[f"a_{name}_{side}"] is not None:
-                fence = F.coalesce(F.col(f"g_{name}_{side}"), F.lit(whole[f"a_{name}_{side}"]))
-                bad = bad | (F.col(name) < fence if side == "low" else F.col(name) > fence)
-    return joined.withColumn("kept", ~F.col("base_failed") & ~bad)
+    for r, side, sign, _ in SIDES:
+        bad = bad | (sign * F.col(r) > sign * F.coalesce(F.col(f"g_{r}_{side}"), F.lit(every[f"{r}_{side}"])))
+    return rows.join(groups, _same_group(), "left").withColumn("kept", ~F.col("base_failed") & ~bad)
 
 
 def assess(docs: DataFrame, **settings) -> DataFrame:

@@ -295,6 +295,23 @@ def test_quality_adapts_to_groups(spark):
     assert sorted(r["doc_id"] for r in quality.keep(df).collect()) == [k for k in range(300) if k != 10]
 
 
+def test_quality_thresholds_tighten_below_the_defaults(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(400):
+        w = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(100)]
+        if k % 2:  # every text of this source has some symbols
+            w = [x + "#" * (i % 3 == 0) for i, x in enumerate(w)]
+        elif k == 10:  # under 0.1, but the source has none
+            w = [x + "#" * (i % 2 == 0) for i, x in enumerate(w)]
+        elif k == 20:  # words under 16 characters, but far longer than in the source
+            w = [x + "abcdefg" for x in w]
+        rows.append((k, " ".join(w), "en", "some" if k % 2 else "none"))
+    got = rows_of(quality.assess(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))
+    assert 0.05 < got[10]["n_symbols"] / got[10]["word_chars"] < 0.1 and got[20]["word_chars"] / got[20]["n_words"] < 16
+    assert [k for k in range(400) if not got[k]["kept"]] == [10, 20]
+
+
 # --- personal data
 
 
