@@ -1,20 +1,20 @@
 """Line deduplication with a log-template tree.
 
 The tree has a fixed depth: the number of tokens, then the leading tokens, with tokens that hold a
-digit taken as variable.  In a leaf, lines form templates.  A template is the line with its
-variable fields; for lines of at least ``wide`` tokens there are two more, which also leave one
-half of the line open: the second half, or the part of the first half after the leading tokens.  So
+digit taken as variable.  In a leaf, lines form templates.  The exact line is one; lines with
+variable fields and at least ``tokens`` tokens have a second, which leaves these open; for lines of at least
+``wide`` tokens there are two more, which also leave one half of the line open: the second half, or the part of the first half after the leading tokens.  So
 lines that differ in one place, whatever stands there, share a template of which at least
 half of the tokens are constant.
 
-A template recurs if it stands for at least ``least`` lines in two or more documents.  Lines of
-recurring templates are dropped in all documents but the one with the least doc_id, so that no
+An exact line recurs if it stands in two or more documents, however many tokens it has; another template
+recurs if it also stands for at least ``least`` lines.  Lines of recurring templates are dropped in all documents but the one with the least doc_id, so that no
 content is lost.
 
 Only DataFrame operations are used.  Templates are counted with map-side aggregation
 and joined to the lines; no template's lines are gathered.
 
-Defined cases: null texts have no lines and stay null.  Lines of fewer than ``shortest`` tokens
+Defined cases: null texts have no lines and stay null.  Lines of fewer than ``shortest`` characters
 stay.  Null doc_ids count as none: their lines of templates that recur elsewhere go.  Rows of equal
 doc_id count as one document.  Empty tables give empty tables.  All columns stay; only the
 text changes.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lakescan.llm.common import whole_text
 
-DEPTH, SHORTEST, WIDE, LEAST = 3, 3, 8, 5
+DEPTH, SHORTEST, TOKENS, WIDE, LEAST = 3, 4, 3, 8, 5
 #: A token with a digit, looked for at starts of tokens only, without going back.
 VARIABLE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 
@@ -37,19 +37,29 @@ def _lines(docs: DataFrame) -> DataFrame:
     # Without the text, which each line would carry along.  The outer forms keep the optimiser from repeating the whole expression in a filter below.
     lines = rows.select("doc_id", "th", F.posexplode_outer("lines").alias("line", "raw"))
     lines = lines.select("doc_id", "th", "line", F.btrim("raw", F.lit(" \t\r")).alias("raw"))
-    masked = F.when(F.col("raw").rlike("[0-9]"), F.regexp_replace("raw", VARIABLE, "<*>")).otherwise(F.col("raw"))
-    return lines.select("doc_id", "th", "line", F.split(masked, "[ \t\r]+").alias("t"))
+    digits, words = F.col("raw").rlike("[0-9]"), lambda c: F.split(c, "[ \t\r]+")
+    masked = F.when(digits, F.regexp_replace("raw", VARIABLE, "<*>")).otherwise(F.col("raw"))
+    # Of lines without variable fields the template is the exact line.
+    fixed = F.when(digits, F.xxhash64(F.lit(3), words(F.col("raw"))))
+    return lines.select("doc_id", "th", "line", F.length("raw").alias("chars"), words(masked).alias("t"), fixed.alias("fixed"))
 
 
-def templates(docs: DataFrame, depth: int = DEPTH, shortest: int = SHORTEST, wide: int = WIDE) -> DataFrame:
-    """doc_id, th, line, template: one to three rows for each line that is long enough."""
+def _key(hashed, exact: bool):
+    """The lowest bit tells whether the template is an exact line."""
+    return hashed.bitwiseOR(F.lit(1)) if exact else hashed.bitwiseAND(F.lit(-2))
+
+
+def templates(docs: DataFrame, depth: int = DEPTH, shortest: int = SHORTEST, tokens: int = TOKENS, wide: int = WIDE) -> DataFrame:
+    """doc_id, th, line, template: one to four rows for each line that is long enough."""
     lines = _lines(docs).withColumn("n", F.size("t"))
     half = F.ceil(F.col("n") / 2).cast("int")
     whole = F.xxhash64(F.lit(0), "n", "t")
-    first = F.xxhash64(F.lit(1), "n", F.slice("t", 1, half))
-    second = F.xxhash64(F.lit(2), "n", F.slice("t", 1, depth), F.slice("t", half + 1, F.col("n")))
+    exact = F.coalesce(_key(F.col("fixed"), True), _key(whole, True))
+    whole = F.when(F.col("fixed").isNotNull(), _key(whole, False))
+    first = _key(F.xxhash64(F.lit(1), "n", F.slice("t", 1, half)), False)
+    second = _key(F.xxhash64(F.lit(2), "n", F.slice("t", 1, depth), F.slice("t", half + 1, F.col("n"))), False)
     none = F.array(F.lit(None).cast("long"))
-    keys = F.when(F.col("n") < shortest, none).when(F.col("n") >= wide, F.array(whole, first, second)).otherwise(F.array(whole))
+    keys = F.when(F.col("chars") < shortest, none).when(F.col("n") >= wide, F.array(exact, whole, first, second)).when(F.col("n") >= tokens, F.array(exact, whole)).otherwise(F.array(exact))
     keyed = lines.select("doc_id", "th", "line", keys.alias("keys"))
     return keyed.select("doc_id", "th", "line", F.explode_outer("keys").alias("template")).where(F.col("template").isNotNull())
 
@@ -57,7 +67,8 @@ def templates(docs: DataFrame, depth: int = DEPTH, shortest: int = SHORTEST, wid
 def recurring(found: DataFrame, least: int = LEAST) -> DataFrame:
     """template, first_doc."""
     counts = found.groupBy("template").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count(F.lit(1)).alias("n"))
-    return counts.where((F.col("n") >= least) & (F.col("first_doc") != F.col("last_doc"))).select("template", "first_doc")
+    enough = (F.col("template").bitwiseAND(F.lit(1)) == 1) | (F.col("n") >= least)
+    return counts.where(enough & (F.col("first_doc") != F.col("last_doc"))).select("template", "first_doc")
 
 
 def dedup(docs: DataFrame, least: int = LEAST, **tree) -> DataFrame:

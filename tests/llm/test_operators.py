@@ -424,6 +424,15 @@ def test_line_dedup(spark):
     assert got[3]["source"] == "src" and got[3]["th"] == "clash"
 
 
+def test_line_dedup_drops_lines_of_two_documents(spark):
+    own = [f"line {'abcdefgh'[k]} of its own" for k in range(8)]
+    texts = [f"{own[0]}\nshared by two only\nOk!\nx{'y' * 90}\nThe.\nat 12:30 on 3 May", f"{own[1]}\nshared  by two only \nOk!\nx{'y' * 90}\nThe.\nat 12:30 on 3 May"]
+    texts += [f"{own[2]}\nat 12:31 on 4 May\nThe. \nPage 7", f"{own[3]}\nPage 8\nsaid twice\nsaid twice"]
+    got = rows_of(line_dedup.dedup(documents(spark, texts)))
+    assert [got[k]["text"] for k in range(4)] == [texts[0], f"{own[1]}\nOk!", f"{own[2]}\nat 12:31 on 4 May\nPage 7", texts[3]]
+    assert [got[k]["n_dropped"] for k in range(4)] == [0, 4, 1, 0]
+
+
 # --- URLs
 
 
