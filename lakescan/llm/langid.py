@@ -31,6 +31,8 @@ ORDERS = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
 #: Words' vectors a worker remembers beyond the model.
 REMEMBERED = 200_000
+#: Longer words are judged, but not remembered.
+LONGEST = 64
 #: A text is cut into blocks of about so many characters, at spaces.
 BLOCK = 1 << 18
 
@@ -79,9 +81,17 @@ class Model:
         return {k: tuple(math.log((c + 0.5) / t) for c, t in zip(v, totals, strict=True)) for k, v in table.items()}
 
     def unseen(self, word: str) -> tuple[float, ...]:
-        for known, gs in zip(self.by_order, self.grams(word[:64]), strict=True):
-            if hits := [known[g] for g in gs if g in known]:
-                return tuple(sum(x) / len(hits) for x in zip(*hits, strict=True))
+        w = f"^{word}$"
+        for n, known in zip(ORDERS, self.by_order, strict=True):
+            text = w if n > 1 else word
+            hits, totals = 0, [0.0] * len(self.languages)
+            for i in range(len(text) - n + 1):  # one by one: a word can be as long as a text
+                if (v := known.get(text[i : i + n])) is not None:
+                    hits += 1
+                    for k, x in enumerate(v):
+                        totals[k] += x
+            if hits:
+                return tuple(x / hits for x in totals)
         return (0.0,) * len(self.languages)
 
 
@@ -92,9 +102,10 @@ class Judge:
     def vector(self, word: str) -> tuple[float, ...]:
         if (v := self.model.words.get(word)) is None and (v := self.memory.get(word)) is None:
             v = self.model.unseen(word)
-            if len(self.memory) >= REMEMBERED:
-                self.memory.clear()
-            self.memory[word] = v
+            if len(word) <= LONGEST:
+                if len(self.memory) >= REMEMBERED:
+                    self.memory.clear()
+                self.memory[word] = v
         return v
 
     def __call__(self, text: str | None) -> tuple[str, float]:

@@ -376,6 +376,12 @@ def test_language_held_out_accuracy(spark):
     assert sum(r["lang_pred"] == truth[r["doc_id"]] for r in held) / len(held) > 0.95
 
 
+def test_language_judges_long_runs_whole():
+    judge = langid.Judge(langid.Model([("de", "schung", 5), ("en", "thering", 5)]))
+    assert judge("schung" * 20)[0] == "de" and judge("schung" * 20 + "thering" * 100)[0] == "en"
+    assert len(judge.memory) == 0 and judge("schungschung")[0] == "de" and len(judge.memory) == 1
+
+
 # --- substrings
 
 
