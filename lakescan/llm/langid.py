@@ -5,8 +5,8 @@ by them.  For an unseen word the character n-grams of order five are tried, then
 three, two and one; the first order of which any n-gram is known gives the mean of its
 known ones.  A text's score is the sum over its words.
 
-The model is fitted on a documented, bounded sample: at most ``per_language`` rows of each
-language, least hashes first, at most ``words`` different words (the most frequent).  So its size,
+The model is fitted on a documented, bounded sample: at most about ``per_language`` different
+texts of each language, chosen by their hashes, copies once, and at most ``words`` different words (the most frequent).  So its size,
 which is broadcast, has a bound that doesn't depend on the corpus.  Every text is judged whole.
 
 Defined cases: null texts and texts without letters are ``und`` with score 0.  Without any
@@ -125,12 +125,14 @@ class Judge:
 def fit(docs: DataFrame, per_language: int = 2000, words: int = 200_000) -> list[tuple[str, str, int]]:
     """Counts of the sample's words: language, word, count."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
-    if not sizes:
-        return []
-    # A share of each language that gives at most per_language rows, by a hash of the text.
-    share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))))[F.col("lang")]
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30))
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    # Copies count once.  Only languages of more texts than the bound are listed.
+    large = {r["lang"]: r["count"] for r in rows.select("lang", "h").distinct().groupBy("lang").count().where(F.col("count") > per_language).collect()}
+    if large:
+        # A share of each of these that gives about per_language texts, by their hashes.
+        share = F.coalesce(F.create_map(*(F.lit(x) for lang, n in large.items() for x in (lang, per_language / n)))[F.col("lang")], F.lit(1.0))
+        rows = rows.where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
+    sample = rows.groupBy("lang", "h").agg(F.first("text").alias("text"))
     fields = [("lang", "string", pa.string()), ("counts", "map<string,int>", pa.map_(pa.string(), pa.int32()))]
     table = map_rows(sample, ["lang", "text"], lambda: lambda lang, text: (lang, list(counted(text).items())), fields)
     table = table.select("lang", F.explode("counts").alias("word", "n")).groupBy("lang", "word").agg(F.sum("n").alias("n"))

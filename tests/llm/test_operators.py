@@ -382,6 +382,12 @@ def test_language_judges_long_runs_whole():
     assert len(judge.memory) == 0 and judge("schungschung")[0] == "de" and len(judge.memory) == 1
 
 
+def test_language_learns_copies_once(spark):
+    rows = [(k, f"{x}word {x}text", f"l{x}") for k in range(30) for x in "abcdefgh"]
+    counts = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=2)
+    assert sorted(counts) == sorted((f"l{x}", f"{x}{w}", 1) for x in "abcdefgh" for w in ("word", "text"))
+
+
 # --- substrings
 
 
