@@ -12,7 +12,10 @@ least six digits), address (a URL with credentials or a home directory) and secr
 or token cue, a separator and at least 16 characters that hold a digit).
 
 Defined cases: null is an empty text without spans.  Offsets are in code points, ends
-exclusive.  Rows are independent, and an empty table gives an empty table.
+exclusive.  Letters are A-Z in either case: other characters that fold to them belong to no
+span's fixed parts.  Texts of any length are read whole.  Rows are independent: repeats
+give repeats, a null doc_id is passed on, columns of other names are ignored, and an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import re
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lakescan.llm.common import map_rows, whole_text
 
@@ -38,9 +42,9 @@ IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]+")
-ACCOUNT = re.compile(r"(?:[\x20\t]*(?:no\.?|number|nr\.?|[:#=]))*[\x20\t]*([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}|[A-Z]{0,2}[0-9](?:[\x20-]?[0-9]){5,})", re.I)
+ACCOUNT = re.compile(r"(?:[\x20\t]*(?:no\.?|number|nr\.?|[:#=]))*[\x20\t]*([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}|[A-Z]{0,2}[0-9](?:[\x20-]?[0-9]){5,})", re.I | re.A)
 SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
-ADDRESS = re.compile(r"(?:[^\s/?#@:\"'<>]+(?::[^\s/?#@\"'<>]*)?@[^\s/?#@\"'<>]+|[^\s/?#\"'<>]+/(?:~|home/|users/)[^\s/?#\"'<>]+)[^\s\"'<>]*", re.I)
+ADDRESS = re.compile(r"(?:[^\s/?#@:\"'<>]+(?::[^\s/?#@\"'<>]*)?@[^\s/?#@\"'<>]+|[^\s/?#\"'<>]+/(?:~|(?ai:home/|users/))[^\s/?#\"'<>]+)[^\s\"'<>]*")
 SECRET = re.compile(r"[\"']?[\x20\t]*[:=][\x20\t]*[\"']?([A-Za-z0-9_+/=.-]{16,})")
 
 
@@ -133,7 +137,7 @@ def named(found: list[tuple[int, int, int]]) -> str:
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans: a row for each row."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_spans, their number: a row for each row."""
 
     def make():
         anchors = automaton()
@@ -141,12 +145,12 @@ def detect(docs: DataFrame) -> DataFrame:
         def one(doc_id, text):
             found = spans(text, anchors)
             base = [x for x in found if x[1] < len(BASE)]
-            return doc_id, *(sum(x[1] == k for x in base) for k in range(len(BASE))), hashlib.sha256(named(base).encode()).hexdigest(), named(found)
+            return doc_id, *(sum(x[1] == k for x in base) for k in range(len(BASE))), hashlib.sha256(named(base).encode()).hexdigest(), named(found), len(found)
 
         return one
 
-    fields = [("doc_id", "long", pa.int64()), *((f"n_{k}", "long", pa.int64()) for k in BASE), ("base_sha256", "string", pa.string()), ("spans", "string", pa.string())]
-    return map_rows(docs.select("doc_id", whole_text().alias("text")), ["doc_id", "text"], make, fields)
+    fields = [("doc_id", "long", pa.int64()), *((f"n_{k}", "long", pa.int64()) for k in BASE), ("base_sha256", "string", pa.string()), ("spans", "string", pa.string()), ("n_spans", "long", pa.int64())]
+    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")), ["doc_id", "text"], make, fields)
 
 
 def redact(docs: DataFrame) -> DataFrame:
