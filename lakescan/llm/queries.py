@@ -29,7 +29,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    # A null id is empty text, whose remainder is 0.
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
     counts = langid.fit(docs.where(~held_out).select("text", "lang"))
     return langid.predict(docs, counts).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
