@@ -21,12 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only if it is unset and none was chosen (as in tests) is one made here.
+    Only if it is unset and none was chosen (as in tests) is one made here, and then only on one
+    machine: on a cluster the executors would each write to a folder of their own.
     """
     sc = spark.sparkContext
     if named := spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir"):
         return named
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lakescan-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -37,12 +40,46 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table in the shared folder.  Unlike a checkpoint's, its size is known to the
-    planner, which so decides by size whether to broadcast it."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def delete(spark: SparkSession, path: str) -> None:
+    """A file or folder in any store that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Tables:
+    """Tables written to the shared folder to cut the lineage.  They are compressed, the planner knows their size,
+    and whoever made them deletes them when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.made = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}", 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        self.made += 1
+        path = f"{self.path}/{self.made}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._path = path
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        delete(self.spark, df._path)
+
+    def clear(self) -> None:
+        delete(self.spark, self.path)
+
+
+def dealt_join(many: DataFrame, one: DataFrame, on: str, by: list[str], hot: int = 256, shares: int = 64) -> DataFrame:
+    """Inner join of ``many`` with ``one``, which has one row for each key and the number n of its rows in ``many``.
+
+    The ``hot`` keys of largest n are dealt to ``shares`` tasks by a hash of the columns ``by``; of any other key
+    ``many`` holds less than one row in ``hot``.  What is broadcast has ``hot`` rows at most.
+    """
+    top = F.broadcast(one.orderBy(F.desc("n"), on).limit(hot).select(F.col(on).alias("__key")))
+    salt = F.when(F.col("__key").isNotNull(), F.pmod(F.xxhash64(*by), F.lit(shares)).cast("int")).otherwise(0)
+    many = many.join(top, F.col(on) == F.col("__key"), "left").withColumn("__salt", salt).drop("__key")
+    salts = F.when(F.col("__key").isNotNull(), F.sequence(F.lit(0), F.lit(shares - 1))).otherwise(F.array(F.lit(0)))
+    one = one.join(top, F.col(on) == F.col("__key"), "left").withColumn("__salt", F.explode(salts)).drop("__key")
+    return many.join(one, [on, "__salt"]).drop("__salt")
 
 
 def whole_text(column: str = "text"):

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakescan.llm import golay, similar
-from lakescan.llm.common import map_rows, materialise, whole_text
+from lakescan.llm.common import Tables, dealt_join, map_rows, whole_text
 from lakescan.llm.components import components
 
 #: First bit and width of each segment.
@@ -108,27 +108,27 @@ def _around(radii: tuple[int, ...]):
     return run
 
 
-def _crowded(fps: DataFrame) -> DataFrame:
+def _crowded(fps: DataFrame, tables: Tables) -> DataFrame:
     """Edges that connect whatever is within three bits, without enumerating groups."""
-    fps = materialise(fps)
+    fps = tables.put(fps)
     one = fps.mapInArrow(_around((0, 1)), "point long, fp long")
     # Everything one bit around a point is within two bits of each other.  The least stands for the point.
-    centre = materialise(one.groupBy("point").agg(F.min("fp").alias("centre"), F.count(F.lit(1)).alias("n")))
+    centre = tables.put(one.groupBy("point").agg(F.min("fp").alias("centre"), F.count(F.lit(1)).alias("n")))
     close = one.join(centre.where("n > 1").select("point", "centre"), "point").where("fp != centre").select(F.col("fp").alias("a"), F.col("centre").alias("b")).distinct()
-    close = materialise(close)
-    rooted = fps.join(components(close).withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    rooted = materialise(rooted)
+    close = tables.put(close)
+    rooted = fps.join(components(close, tables).withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    rooted = tables.put(rooted)
     most = rooted.groupBy("root").count().orderBy(F.desc("count"), "root").limit(1).collect()
     rest = rooted.where(F.col("root") != most[0]["root"]).select("fp") if most else rooted.select("fp")
     far = rest.mapInArrow(_around((2,)), "point long, fp long").join(centre.select("point", "centre"), "point").where("fp != centre")
     return close.unionByName(far.select(F.col("fp").alias("a"), F.col("centre").alias("b")).distinct())
 
 
-def links(fps: DataFrame, bucket: int = 64) -> DataFrame:
+def links(fps: DataFrame, tables: Tables, bucket: int = 64) -> DataFrame:
     """Edges a, b between different fingerprints (column fp) within BITS bits, which connect all that are."""
-    home = materialise(fps.mapInArrow(_keys(True), "key long, fp long"))
+    home = tables.put(fps.mapInArrow(_keys(True), "key long, fp long"))
     search = fps.mapInArrow(_keys(False), "key long, fp long").withColumnRenamed("fp", "a")
-    full = materialise(home.groupBy("key").count().where(F.col("count") > bucket).select("key"))
+    full = tables.put(home.groupBy("key").count().where(F.col("count") > bucket).select("key"))
     crowded = not full.isEmpty()
     held = home.withColumnRenamed("fp", "b")
     if crowded:  # one mark instead of the homes of a full bucket, so that the search keys are dealt out once
@@ -136,38 +136,44 @@ def links(fps: DataFrame, bucket: int = 64) -> DataFrame:
     close = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS) & (F.col("a") != F.col("b"))
     found = search.join(held, "key").where(F.col("b").isNull() | close).select("a", "b")
     if crowded:
-        found = materialise(found)
-        found = found.where("b is not null").unionByName(_crowded(found.where("b is null").select(F.col("a").alias("fp")).distinct()))
+        found = tables.put(found)
+        found = found.where("b is not null").unionByName(_crowded(found.where("b is null").select(F.col("a").alias("fp")).distinct(), tables))
     return found
 
 
+def _named(signed: DataFrame, firsts: DataFrame, edges: DataFrame, on: str, tables: Tables) -> DataFrame:
+    """signed with component_id.  firsts: one row for each value of ``on`` with its first_doc and the number n of its rows."""
+    roots = components(edges, tables).withColumnRenamed("node", on)
+    rooted = tables.put(firsts.join(roots, on, "left").select(on, "first_doc", "n", F.coalesce("root", on).alias("root")))
+    named = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = tables.put(dealt_join(rooted.select(on, F.col("n").alias("rows"), "root"), tables.put(named), "root", [on]).select(on, F.col("rows").alias("n"), "component_id"))
+    return dealt_join(signed, named, on, ["doc_id", "th"]).drop("n")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, bucket: int = 64) -> DataFrame:
     """doc_id, th, fp, component_id: the least doc_id reachable over links."""
-    signed = materialise(signatures(docs, shingle))
-    fps = materialise(signed.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
-    roots = components(links(fps.select("fp"), bucket)).withColumnRenamed("node", "fp")
-    rooted = materialise(fps.join(roots, "fp", "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root")))
-    named = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    return signed.join(rooted.join(named, "root").select("fp", "component_id"), "fp")
+    tables = Tables(docs.sparkSession)
+    signed = tables.put(signatures(docs, shingle))
+    fps = tables.put(signed.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")))
+    return _named(signed, fps, links(fps.select("fp"), tables, bucket), "fp", tables)
 
 
-def similar_texts(docs: DataFrame, bucket: int = 64) -> DataFrame:
+def similar_texts(docs: DataFrame, bucket: int = 64, tables: Tables | None = None) -> DataFrame:
     """doc_id, th, component_id: the least doc_id reachable over five-word similarities of 0.8 or more.
 
     Candidates are the links of fingerprints, found by Golay keys, and min-wise bands (see ``similar``).
     """
+    tables = tables or Tables(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).withColumn("th", F.xxhash64("text"))
     fields = [("doc_id", "long", pa.int64()), ("th", "long", pa.int64()), ("fp", "long", pa.int64()), ("keys", "array<bigint>", pa.list_(pa.int64()))]
-    signed = materialise(map_rows(rows, ["doc_id", "th", "text"], lambda: lambda d, th, text: (d, th, fingerprint(text), similar.band_keys(text)), fields))
-    texts = materialise(signed.groupBy("th").agg(F.min("doc_id").alias("first_doc"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
-    homes = materialise(texts.groupBy("fp").agg(F.min("th").alias("home")))
-    near = links(homes.select("fp"), bucket).join(homes.select(F.col("fp").alias("a"), F.col("home").alias("x")), "a").join(homes.select(F.col("fp").alias("b"), F.col("home").alias("y")), "b")
-    same = texts.select("th", "fp").join(homes, "fp").select(F.col("th").alias("a"), F.col("home").alias("b"))
-    found = similar.links(texts, docs, near.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(same))
-    rooted = texts.join(components(found).withColumnRenamed("node", "th"), "th", "left").select("th", "first_doc", F.coalesce("root", "th").alias("root"))
-    rooted = materialise(rooted)
-    named = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    return signed.select("doc_id", "th").join(rooted.join(named, "root").select("th", "component_id"), "th")
+    signed = tables.put(map_rows(rows, ["doc_id", "th", "text"], lambda: lambda d, th, text: (d, th, fingerprint(text), similar.band_keys(text)), fields))
+    texts = tables.put(signed.groupBy("th").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    homes = tables.put(texts.groupBy("fp").agg(F.min("th").alias("home"), F.count(F.lit(1)).alias("n")))
+    near = links(homes.select("fp"), tables, bucket).join(homes.select(F.col("fp").alias("a"), F.col("home").alias("x")), "a").join(homes.select(F.col("fp").alias("b"), F.col("home").alias("y")), "b")
+    same = dealt_join(texts.select("th", "fp"), homes, "fp", ["th"]).select(F.col("th").alias("a"), F.col("home").alias("b"))
+    more = near.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(same)
+    found = similar.links(texts.select("th", "keys"), docs, more, tables)
+    return _named(signed.select("doc_id", "th"), texts.select("th", "first_doc", "n"), found, "th", tables)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -175,11 +181,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows equal in doc_id and text count as one.  All columns stay as they are.
     """
-    found = materialise(similar_texts(docs))
+    inner, tables = Tables(docs.sparkSession), Tables(docs.sparkSession)
+    found = inner.put(similar_texts(docs, tables=inner))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     kept = found.groupBy("component_id").agg(F.min(first).alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.th").alias("__th"))
+    kept, repeats = tables.put(kept), not found.groupBy("doc_id", "th").count().where("count > 1").isEmpty()
+    inner.clear()
     out = docs.withColumn("__h", F.xxhash64(whole_text()))
     out = out.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left_semi")
-    if not found.groupBy("doc_id", "th").count().where("count > 1").isEmpty():
+    if repeats:
         out = out.dropDuplicates(["doc_id", "__h"])
     return out.drop("__h")
