@@ -39,6 +39,17 @@ def opened(path: str, columns: list[str] | None = None) -> pa.RecordBatchFileRea
     return pa.ipc.open_file(source, options=pa.ipc.IpcReadOptions(included_fields=[names.index(c) for c in columns]))
 
 
+def row_counts(path: str) -> list[int]:
+    """Of each batch.  Only the narrowest column is decoded."""
+    out = []
+    for f in files_of(path):
+        fields = list(opened(f).schema)
+        least = min(fields, key=lambda x: x.type.bit_width if pa.types.is_primitive(x.type) else 1 << 20).name if fields else None
+        data = opened(f, [least] if least else None)
+        out += [data.get_batch(k).num_rows for k in range(data.num_record_batches)]
+    return out
+
+
 def batches_of(path: str) -> list[tuple[str, int]]:
     return [(f, k) for f in files_of(path) for k in range(opened(f).num_record_batches)]
 
@@ -91,6 +102,11 @@ class Writer(DataSourceArrowWriter):
 
     def commit(self, messages: list[Done | None]) -> None:
         folder = local(self.options["path"])
+        if not any(m and m.path for m in messages):  # the schema of an empty table is kept by a file without batches
+            os.makedirs(folder, exist_ok=True)
+            path = f"{folder}/.{uuid.uuid4().hex}.arrow"
+            pa.ipc.new_file(path, self.schema).close()
+            messages = [Done(path)]
         old = files_of(folder) if self.overwrite and os.path.isdir(folder) else []
         for k, m in enumerate(x for x in messages if x and x.path):
             os.rename(m.path, f"{folder}/part-{k:05d}-{os.path.basename(m.path)[1:]}")

@@ -1,8 +1,9 @@
 """JSON: newline-delimited records, or one array of objects.
 
-Texts are parsed into variants on the executors.  Names and types come from the first records:
+Lines are parsed once into the types on the executors; those that don't fit are parsed again into variants.
+Names and types come from the first records:
 per record in sorted order, new names appended.  Nested values become their compact text.
-Malformed records fail the read; records that aren't objects give a row of nulls in
+Malformed records fail the read, also if only rows are counted or something follows a record on its line; records that aren't objects give a row of nulls in
 newline-delimited files and are left out of arrays.
 """
 
@@ -18,6 +19,8 @@ from lakescan.sources.inference import FALSE, FLOAT, INTEGER, SAMPLE, TRUE, wide
 
 FORMATS = ("auto", "array", "ndjson")
 MISFIT = "__misfit"
+#: Text of a string column that may come from a value that isn't a string and whose compact form may differ.
+SHAPED = r"^([\[{]|-?[0-9]+[.eE][0-9.eE+-]*$)"
 
 
 def _kind(value) -> str:
@@ -53,7 +56,8 @@ def read(spark: SparkSession, path: str, form: str = "auto", sample: int = SAMPL
         raise ValueError(f"the format is one of {', '.join(FORMATS)}")
     needed(spark, path)
     records = None
-    lines = spark.read.text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("value")).where(F.btrim("value", F.lit(" \t\r")) != "")
+    marked = F.col("value").startswith("\ufeff")
+    lines = spark.read.text(path).select(F.when(marked, F.substring("value", 2, 1 << 30)).otherwise(F.col("value")).alias("value")).where(F.btrim("value", F.lit(" \t\r")) != "")
     first = lines.select(F.substring(F.ltrim("value"), 1, 1).alias("c")).first()
     if first is None:
         raise OSError(f"{path} has no records")
@@ -82,17 +86,30 @@ def read(spark: SparkSession, path: str, form: str = "auto", sample: int = SAMPL
 
 
 def _lines(lines: DataFrame, typed: dict[str, str]) -> DataFrame:
-    """Each line is parsed once into the types; only lines that don't fit them are parsed into variants."""
-    field = {"bigint": "bigint", "double": "double", "boolean": "boolean"}
-    names = [f"`{n.replace('`', '``')}` {field.get(k, 'variant')}" for n, k in typed.items()]
+    """A row for each line.
+
+    A parser stops at the end of a record, so a line is only known to hold nothing else if its first closing brace is its
+    last character.  Others, and those that don't fit the types, are put into an array in a record with an end
+    mark: the parser finds the mark, and one element, only if the line is one whole value.
+    """
+    names = [f"`{n.replace('`', '``')}` {k}" for n, k in typed.items() if k != "void"]
     parsed = F.from_json("value", f"struct<{', '.join([*names, f'`{MISFIT}` string'])}>", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": MISFIT})
     rows = lines.select("value", parsed.alias("t"))
-    misfit = F.col("t").isNull() | F.col("t")[MISFIT].isNotNull()
+    t = F.col("t")
+    odd = t.isNull() | t[MISFIT].isNotNull() | (F.instr("value", "}") != F.length(F.rtrim("value", F.lit(" \t\r"))))
+    for name, kind in typed.items():
+        if kind == "string":
+            odd = odd | F.coalesce(t[name].rlike(SHAPED), F.lit(False))
+    put = F.try_parse_json(F.concat(F.lit('{"r":['), "value", F.lit('],"end":true}')))
+    rows = rows.select("t", F.when(odd, F.coalesce(put, F.parse_json(F.lit("{}")))).alias("v"), F.when(odd, F.col("value")).alias("value"))
+    v = F.col("v")
+    whole = v.isNull() | (F.coalesce(F.try_variant_get(v, "$.end", "boolean"), F.lit(False)) & F.try_variant_get(v, "$.r[1]", "variant").isNull())
     bad = F.raise_error(F.concat(F.lit("malformed record: "), F.substring("value", 1, 80)))
-    rows = rows.select("t", misfit.alias("misfit"), F.when(misfit, F.coalesce(F.try_parse_json("value"), bad)).alias("v"))
-    rows = rows.select("t", "misfit", F.when(F.col("misfit"), F.try_variant_get("v", "$", "map<string,variant>")).alias("m"))
+    # What is generated is computed whichever columns are asked for, and if none are.
+    rows = rows.select("t", "v", F.explode(F.when(whole, F.array(F.lit(0))).otherwise(F.array(bad.cast("int")))).alias("ok")).where("ok = 0")
+    rows = rows.select("t", v.isNotNull().alias("misfit"), F.when(v.isNotNull(), F.try_variant_get("v", "$.r[0]", "map<string,variant>")).alias("m"))
     out = []
     for name, kind in typed.items():
-        own = F.col("t")[name]
-        out.append(F.when(F.col("misfit"), _typed(F.col("m")[name], kind)).otherwise(own if kind in field else _typed(own, kind)).alias(name))
+        own = F.lit(None).cast("void") if kind == "void" else F.col("t")[name]
+        out.append(F.when(F.col("misfit"), _typed(F.col("m")[name], kind)).otherwise(own).alias(name))
     return rows.select(*out)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import quote
+
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lakescan.dtypes import accepted_table
 from lakescan.functions.expressions import COMPARISONS, comparison
+from lakescan.operators.relational import quoted
 from lakescan.sources.files import File, local, needed
 
 
@@ -18,21 +22,34 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         raise OSError(f"{path} is no Parquet file: {str(e).splitlines()[0]}") from e
 
 
-def row_groups(files: list[File]) -> list[tuple[str, int, int]]:
-    """file, row group, rows; footers only."""
-    out = []
-    for f in files:
-        meta = pq.read_metadata(local(f.path))
-        out += [(f.path, k, meta.row_group(k).num_rows) for k in range(meta.num_row_groups)]
-    return out
+def row_groups(spark: SparkSession, files: list[File], threads: int = 16) -> list[tuple[str, int, int]]:
+    """file, row group, rows.  Footers only, several at a time, of any store that Spark reads."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def one(f: File) -> list[tuple[str, int, int]]:
+        at = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(f.path), conf)
+        footer = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(at)
+        try:
+            return [(f.path, k, block.getRowCount()) for k, block in enumerate(footer.getRowGroups())]
+        finally:
+            footer.close()
+
+    with ThreadPoolExecutor(threads) as pool:
+        return [x for found in pool.map(one, files) for x in found]
 
 
-def read_row_group(spark: SparkSession, files: list[File], index: int, columns: list[str] | None = None) -> DataFrame:
-    groups = row_groups(files)
+def read_row_group(spark: SparkSession, df: DataFrame, files: list[File], index: int, columns: list[str] | None = None) -> DataFrame:
+    """By the places of its rows in their file; other files aren't read."""
+    groups = row_groups(spark, files)
     if not 0 <= index < len(groups):
         raise IndexError(f"row group {index} of {len(groups)}")
-    path, k, _ = groups[index]
-    return spark.createDataFrame(accepted_table(pq.ParquetFile(local(path)).read_row_group(k, columns=columns)))
+    path, _, n = groups[index]
+    first = sum(rows for other, k, rows in groups[:index] if other == path)
+    at = F.col("_metadata.row_index")
+    # Spark may write a scheme's slashes in another way.
+    tail = path.split(":", 1)[-1].lstrip("/")
+    out = df.where(F.col("_metadata.file_path").endswith("/" + quote(tail, safe="/=:@!$&'()*+,;~")) & (at >= first) & (at < first + n))
+    return out.select(*map(quoted, columns or df.columns))
 
 
 def row_groups_matching(files: list[File], column: str, op: str, value) -> list[int]:

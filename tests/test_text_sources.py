@@ -115,3 +115,30 @@ def test_json_equals_a_model(spark, tmp_path, records):
         got = [r[name] for r in s.df.select(name).collect()]
         want = [json.dumps(v) if kind == "string" and not isinstance(v, (str, type(None))) else v for v in values]
         assert got == want
+
+
+def test_json_takes_one_record_a_line(spark, put):
+    from lakescan.sources import json as source
+
+    good = "".join(f'{{"a": {k}, "s": "x}}{k}", "n": {{"k": [{k}, 1.50]}}}}\n' for k in range(1500))
+    s = scan_json(put(good, "good.json"), spark=spark)
+    assert s.num_rows == 1500 and rows(s)[7] == (7, '{"k":[7,1.5]}', "x}7")
+    for bad in ('{"a": 2} garbage', '{"a": 2} {"a": 3}', '{"a": 2},{"a": 3}', '{"a":', '{"a": 2}]} x', '{"a": 2}]', '{"a": 2}}', "x"):
+        path = put(good + bad + "\n" + good, "bad.json")
+        s = scan_json(path, spark=spark)
+        for use in (lambda: s.num_rows, lambda: s.df.collect(), lambda: s.agg_column("sum", "a"), lambda: s.read_columns(["s"]).num_rows):
+            with pytest.raises(Exception, match="malformed record"):
+                use()
+    odd = put('{"s": "1.50", "t": "x"}\n{"s": 1.50, "t": [1, 2]}\n{"s": "[1, 2]", "t": "{}"}\n{"s": 1e2, "t": true}\n{"t": 7}\n', "odd.json")
+    assert [tuple(r) for r in source.read(spark, odd, sample=1).collect()] == [("1.50", "x"), ("1.5", "[1,2]"), ("[1, 2]", "{}"), ("100.0", "true"), (None, "7")]
+
+
+def test_csv_values_that_the_reader_would_take(spark, put):
+    body = "1,1.5,true\n2,2,FALSE\n"
+    more = '"  3 ", inf ,yes\n+4,-Infinity,1\n1d,1d,no\n0x1,0x1p3,0\n9223372036854775808,1f,t\n5,1e400,True\n" 6"," nan ",x\n7\n8,.5,true,extra\n'
+    got = rows(scan_csv(put("i,f,b\n" + body + more), spark=spark, sample=2))
+    assert [r[0] for r in got] == [1, 2, 3, 4, None, None, None, 5, 6, 7, 8]
+    assert [r[2] for r in got] == [True, False, True, True, False, False, None, True, None, None, True]
+    assert [str(r[1]) for r in got] == ["1.5", "2.0", "inf", "-inf", "None", "None", "None", "inf", "nan", "None", "0.5"]
+    quoted = scan_csv(put('"a ""x""", b \n"one\ntwo",1\n"three, four",x\n', "q.csv"), spark=spark, sample=1)
+    assert quoted.column_names == ['a "x"', "b"] and rows(quoted) == [("one\ntwo", 1), ("three, four", None)]
