@@ -66,7 +66,7 @@ class Batch:
         """In one pass."""
         if not self.df.columns:
             return {}
-        return self.df.agg(*(F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in self.df.columns)).first().asDict()
+        return self.df.agg(*(F.count_if(F.col(relational.quoted(c)).isNull()).alias(c) for c in self.df.columns)).first().asDict()
 
     def has_nulls(self) -> bool:
         return any(self.null_counts().values())
@@ -77,17 +77,17 @@ class Batch:
     # -- projection and rows
     def column(self, name: str) -> Array:
         need_columns(self.df.columns, [name])
-        return Array(self.df.select(f"`{name}`").toArrow().column(0))
+        return Array(self.df.select(relational.quoted(name)).toArrow().column(0))
 
     def select(self, names: list[str]) -> Batch:
         need_columns(self.df.columns, names)
-        return Batch(self.df.select(*(f"`{n}`" for n in names)))
+        return Batch(self.df.select(*map(relational.quoted, names)))
 
     def slice(self, offset: int, length: int, by: list[str] | None = None) -> Batch:
         """Rows of a defined order: that of `by`, else of the source as Spark reads it."""
         if offset < 0 or length < 0:
             raise ValueError("offset and length can't be negative")
-        return Batch((self.df.orderBy(*by) if by else self.df).offset(offset).limit(length))
+        return Batch((self.df.orderBy(*map(relational.quoted, by)) if by else self.df).offset(offset).limit(length))
 
     def take(self, indices: list[int], by: list[str]) -> Batch:
         """Rows at positions of the order `by`, in the order of the indices; positions may repeat."""
@@ -102,7 +102,7 @@ class Batch:
     def cast(self, name: str, kind: str, strict: bool = False) -> Batch:
         """Values that can't be cast are null, or an error if strict."""
         need_columns(self.df.columns, [name])
-        c = F.col(f"`{name}`")
+        c = F.col(relational.quoted(name))
         return Batch(self.df.withColumn(name, c.cast(kind) if strict else c.try_cast(kind)))
 
     def __getitem__(self, name: str) -> Expr:
@@ -149,11 +149,24 @@ class Batch:
     def distinct(self) -> Batch:
         return Batch(self.df.distinct())
 
+    def intersect(self, other: Batch) -> Batch:
+        """Different rows that both have; nulls are alike."""
+        return Batch(self.df.intersect(other.df))
+
+    def subtract(self, other: Batch) -> Batch:
+        """Different rows that the other doesn't have; nulls are alike."""
+        return Batch(self.df.subtract(other.df))
+
     # -- functions of the user
     def map_batches(self, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> Batch:
         """Arrow batches in and out, on the executors."""
         return Batch(self.df.mapInArrow(f, schema))
 
+    def map_column(self, name: str, f: Callable, columns: list[str], kind: str) -> Batch:
+        """A column out of others by a function of Arrow arrays."""
+        need_columns(self.df.columns, columns)
+        return Batch(self.df.withColumn(name, F.arrow_udf(f, kind)(*map(relational.quoted, columns))))
+
     # -- export
     def to_arrow(self) -> pa.Table:
         return self.df.toArrow()
@@ -164,6 +177,10 @@ class Batch:
     def to_numpy(self, name: str):
         return self.column(name).to_numpy()
 
+    def to_tensor(self, name: str) -> pa.Tensor:
+        """Of a numeric column without nulls."""
+        return pa.Tensor.from_numpy(self.to_numpy(name))
+
     def to_pydict(self) -> dict[str, list]:
         return self.to_arrow().to_pydict()
 
@@ -197,6 +214,10 @@ class Grouped:
     def agg(self, aggregates: list[tuple]) -> Batch:
         return Batch(relational.aggregate(self.df, self.keys, aggregates))
 
+    def map_groups(self, f: Callable[[pa.Table], pa.Table], schema: str) -> Batch:
+        """A table for each group's table.  A group is held by one task, so it must fit there; aggregates have no such bound."""
+        return Batch(self.df.groupBy(*map(relational.quoted, self.keys)).applyInArrow(f, schema))
+
 
 def from_arrow(data: pa.Table | pa.RecordBatch, spark: SparkSession | None = None) -> Batch:
     data = pa.table(data) if not isinstance(data, pa.Table) else data

@@ -99,6 +99,14 @@ class Expr:
     def isin(self, values):
         return Expr("in", (self, tuple(values)))
 
+    def like(self, pattern: str):
+        """% stands for any text, _ for one character."""
+        return Expr("like", (self, pattern))
+
+    def matches(self, pattern: str):
+        """A regular expression that is found anywhere."""
+        return Expr("matches", (self, pattern))
+
     def between(self, low, high):
         return self.ge(low).and_(self.le(high))
 
@@ -127,6 +135,8 @@ class Expr:
                 return f"({a[0]!r} IS NULL)"
             case "in":
                 return f"({a[0]!r} IN {a[1]!r})"
+            case "like" | "matches":
+                return f"({a[0]!r} {'LIKE' if self.kind == 'like' else 'RLIKE'} {a[1]!r})"
             case "cast":
                 return f"CAST({a[0]!r} AS {a[1]})"
             case "case":
@@ -148,6 +158,11 @@ class Expr:
             return next((t for k, t in ((bool, T.BooleanType()), ((int, float, decimal.Decimal), T.DoubleType()), (str, T.StringType())) if isinstance(v, k)), None)
         return None
 
+    def _comparable(self, other: Expr, schema: T.StructType) -> None:
+        left, right = self._type(schema), other._type(schema)
+        if left and right and (is_string(left) and is_numeric(right) or is_numeric(left) and is_string(right) or isinstance(left, T.BooleanType) != isinstance(right, T.BooleanType)):
+            raise TypeError(f"{self!r} is {left.simpleString()} and {other!r} is {right.simpleString()}")
+
     def _lower(self, schema: T.StructType) -> Column:
         a = self.args
         match self.kind:
@@ -160,7 +175,13 @@ class Expr:
             case "is_null":
                 return a[0]._lower(schema).isNull()
             case "in":
+                for v in a[1]:
+                    a[0]._comparable(lit(v), schema)
                 return a[0]._lower(schema).isin(list(a[1]))
+            case "like" | "matches":
+                a[0]._comparable(lit(a[1]), schema)
+                left = a[0]._lower(schema)
+                return left.like(a[1]) if self.kind == "like" else left.rlike(a[1])
             case "cast":
                 return a[0]._lower(schema).try_cast(a[1])
             case "case":
@@ -172,9 +193,7 @@ class Expr:
                 left, right = a[1]._lower(schema), a[2]._lower(schema)
                 return left & right if a[0] == "and" else left | right
             case "compare":
-                left, right = a[1]._type(schema), a[2]._type(schema)
-                if left and right and (is_string(left) and is_numeric(right) or is_numeric(left) and is_string(right) or isinstance(left, T.BooleanType) != isinstance(right, T.BooleanType)):
-                    raise TypeError(f"{a[1]!r} is {left.simpleString()} and {a[2]!r} is {right.simpleString()}")
+                a[1]._comparable(a[2], schema)
                 return COMPARISONS[a[0]](a[1]._lower(schema), a[2]._lower(schema))
             case _:
                 return _ARITHMETIC[a[0]](a[1]._lower(schema), a[2]._lower(schema))

@@ -6,9 +6,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakescan.errors import need_columns
 from lakescan.functions.aggregates import aggregate_of, alias_of
+from lakescan.session import scratch
 
 JOINS = {"inner": "inner", "left": "left", "right": "right", "full": "full", "cross": "cross", "semi": "left_semi", "anti": "left_anti"}
 
@@ -38,8 +40,8 @@ def top(df: DataFrame, by: list, n: int) -> DataFrame:
     return sort(df, by).limit(n)
 
 
-def join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
-    """Equi-join on name pairs; null keys never match.
+def join(left: DataFrame, right: DataFrame, on, how: str = "inner", null_safe: bool = False) -> DataFrame:
+    """Equi-join on name pairs; null keys never match, or match each other if ``null_safe``.
 
     Of keys with equal names one is kept (in a full join the one that is there).  Other names that
     occur on both sides get ``_right`` on the right one.  No side is broadcast by force: Spark does
@@ -63,7 +65,7 @@ def join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame
     side = right.select(*(F.col(quoted(b)).alias(k) for b, k in keys.items()), *(F.col(quoted(n)).alias(new[n]) for n in kept if how not in ("semi", "anti")))
     if how == "cross":
         return left.crossJoin(side)
-    cond = reduce(lambda x, y: x & y, (left[quoted(a)] == side[keys[b]] for a, b in pairs))
+    cond = reduce(lambda x, y: x & y, (left[quoted(a)].eqNullSafe(side[keys[b]]) if null_safe else left[quoted(a)] == side[keys[b]] for a, b in pairs))
     out = left.join(side, cond, JOINS[how])
     if how in ("semi", "anti"):
         return out
@@ -85,11 +87,14 @@ def numbered(df: DataFrame, by: list[str], name: str) -> DataFrame:
     """Adds positions from 0 in the order `by`, without moving all rows to one task.
 
     Rows are dealt out by range and numbered within partitions; the counts of the partitions before
-    are added.  Rows that tie take any order among themselves.
+    are added.  Rows that tie take the order of their other columns.  The numbered rows are written to
+    the shared folder, so that both uses see one numbering and lost executors change nothing.
     """
     need_columns(df.columns, by)
-    held = df.repartitionByRange(*map(quoted, by)).sortWithinPartitions(*map(quoted, by)).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    held = held.cache()  # both uses see one numbering; what is lost is computed alike from the same ranges
+    rest = [f.name for f in df.schema if f.name not in by and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    held = df.repartitionByRange(*map(quoted, by)).sortWithinPartitions(*map(quoted, [*by, *rest])).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    held.write.parquet(path := scratch(df.sparkSession))
+    held = df.sparkSession.read.schema(held.schema).parquet(path)
     before = held.groupBy("__part").count()
     before = before.withColumn("__before", F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)))
     return held.join(F.broadcast(before.select("__part", F.coalesce("__before", F.lit(0)).alias("__before"))), "__part").withColumn(name, F.col("__at") + F.col("__before")).drop("__part", "__at", "__before")

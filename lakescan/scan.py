@@ -38,10 +38,8 @@ class ScanResult:
 
     @property
     def num_rows(self) -> int:
-        """From footers where the format has them."""
-        if rows := self.batch_row_counts():
-            return sum(rows)
-        return self.df.count()
+        """Counted by the executors: of Parquet from the footers, of IPC from one column."""
+        return (self._frame(self.df.columns[:1]) if self.format == "ipc" else self.df).count()
 
     def __len__(self) -> int:
         return self.num_rows
@@ -52,14 +50,11 @@ class ScanResult:
         return sum(os.path.getsize(f) for f in arrow_ipc.files_of(self.path)) if self.format == "ipc" else 0
 
     def batch_row_counts(self) -> list[int]:
-        """Rows of each record batch or row group; empty for text formats and stores that only Spark reads."""
-        try:
-            if self.format == "ipc":
-                return [arrow_ipc.opened(f).get_batch(k).num_rows for f, k in arrow_ipc.batches_of(self.path)]
-            if self.format == "parquet":
-                return [n for _, _, n in parquet.row_groups(listed(self.spark, self.path))]
-        except (OSError, pa.ArrowException):
-            pass
+        """Rows of each record batch or row group; empty for text formats."""
+        if self.format == "ipc":
+            return arrow_ipc.row_counts(self.path)
+        if self.format == "parquet":
+            return [n for _, _, n in parquet.row_groups(self.spark, listed(self.spark, self.path))]
         return []
 
     @property
@@ -100,7 +95,7 @@ class ScanResult:
         if self.format == "ipc":
             return Batch(arrow_ipc.read(self.spark, self.path, columns, index))
         if self.format == "parquet":
-            return Batch(parquet.read_row_group(self.spark, listed(self.spark, self.path), index, columns))
+            return Batch(parquet.read_row_group(self.spark, self.df, listed(self.spark, self.path), index, columns))
         return self.read_columns(columns) if columns else self.read_all()
 
     def iter_batches(self, batch_size: int = 10_000) -> Iterator[pa.Table]:

@@ -48,24 +48,15 @@ def write(batch, path: str, form: str = "parquet", append: bool = False, partiti
 
 
 def batches(df: DataFrame, rows: int = 10_000) -> Iterator[pa.Table]:
-    """Tables of at most so many rows, partition by partition; the driver holds one partition at a time."""
-    held: list = []
-    schema = None
-    for row in df.toLocalIterator(prefetchPartitions=True):
-        held.append(row)
-        if len(held) == rows:
-            schema = schema or _schema(df)
-            yield _table(held, schema)
-            held = []
-    if held:
-        yield _table(held, schema or _schema(df))
-
-
-def _schema(df: DataFrame) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(df.schema)
-
-
-def _table(rows: list, schema: pa.Schema) -> pa.Table:
-    return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+    """Tables of at most so many rows, partition by partition; the driver holds one partition at a time, as Arrow bytes."""
+
+    def packed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            for at in range(0, b.num_rows, rows):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema) as out:
+                    out.write_batch(b.slice(at, rows))
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["data"])
+
+    for row in df.mapInArrow(packed, "data binary").toLocalIterator(prefetchPartitions=True):
+        yield pa.ipc.open_stream(row["data"]).read_all()
