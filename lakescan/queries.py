@@ -14,7 +14,7 @@ from lakescan.operators import relational
 from lakescan.plans import Empty, Plan, QueryPlan, Scan, Union
 from lakescan.scan import scan_csv, scan_ipc, scan_json, scan_parquet
 from lakescan.session import scratch
-from lakescan.streaming import ranged, session
+from lakescan.streaming import ranged, run_available, session, stream_of, watermarked
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,6 +72,9 @@ filtered("filter_and", "orders", (col("o_custkey") > 100) & (col("o_orderstatus"
 filtered("filter_or", "orders", (col("o_custkey") < 20) | (col("o_totalprice") > 400000.0), ["o_orderkey"], "o_custkey < 20 OR o_totalprice > 400000")
 filtered("filter_not", "events", ~((col("event_type") == "view") | (col("value") > 50.0)), ["event_id"], "NOT (event_type = 'view' OR value > 50)")
 filtered("filter_in", "orders", col("o_orderpriority").isin(["1-URGENT", "2-HIGH"]), ["o_orderkey"], "o_orderpriority IN ('1-URGENT', '2-HIGH')")
+filtered("filter_in_numbers", "orders", col("o_custkey").isin([3, 700, 1100]), ["o_orderkey"], "o_custkey IN (3, 700, 1100)")
+filtered("filter_like", "part", col("p_name").like("%a_e%"), ["p_partkey"], "p_name LIKE '%a_e%'")
+filtered("filter_matches", "customer", col("c_name").matches("[13579]$"), ["c_custkey"], "regexp_matches(c_name, '[13579]$')")
 filtered("filter_between", "lineitem", col("l_quantity").between(10, 12), ["l_orderkey", "l_linenumber"], "l_quantity BETWEEN 10 AND 12")
 
 
@@ -144,16 +147,16 @@ def pricing_summary(s, d):
     )
 
 
-@query("nation_year_revenue", """SELECT n_name, CAST(year(o_orderdate) AS INTEGER) AS o_year, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+@query("nation_year_revenue", """SELECT n_name, CAST(year(o_orderdate) AS INTEGER) AS o_year, CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4))) AS DOUBLE) AS revenue
     FROM part, supplier, lineitem, orders, nation
-    WHERE s_suppkey = l_suppkey AND p_partkey = l_partkey AND o_orderkey = l_orderkey AND s_nationkey = n_nationkey AND p_size > 25 GROUP BY ALL""")
+    WHERE s_suppkey = l_suppkey AND p_partkey = l_partkey AND o_orderkey = l_orderkey AND s_nationkey = n_nationkey GROUP BY ALL""")
 def nation_year_revenue(s, d):
     lines = scanned(s, d, "lineitem").df
-    parts = scanned(s, d, "part").df.filter("p_size > 25").select("p_partkey")
+    parts = scanned(s, d, "part").df.select("p_partkey")
     sellers = scanned(s, d, "supplier").df.join(scanned(s, d, "nation").df, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
     df = lines.join(parts, lines["l_partkey"] == parts["p_partkey"]).join(sellers, lines["l_suppkey"] == sellers["s_suppkey"])
     df = df.join(scanned(s, d, "orders").df, F.col("o_orderkey") == F.col("l_orderkey"))
-    return df.groupBy("n_name", F.year("o_orderdate").alias("o_year")).agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+    return df.groupBy("n_name", F.year("o_orderdate").alias("o_year")).agg(F.sum((F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")).cast("double").alias("revenue"))
 
 
 # --- order, sets
@@ -162,7 +165,9 @@ def nation_year_revenue(s, d):
 query("sort_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")(lambda s, d: node(s, d, "orders").project(["o_orderkey", "o_totalprice"]).sort([("o_totalprice", False), "o_orderkey"]).limit(25).lower(s))
 query("limit_offset", "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 10 OFFSET 30")(lambda s, d: batch(s, d, "customer").select(["c_custkey", "c_name"]).sort(["c_custkey"]).limit(10, 30).df)
 query("top_k", "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC NULLS LAST, p_partkey LIMIT 5")(lambda s, d: relational.top(batch(s, d, "part").select(["p_partkey", "p_retailprice"]).df, [("p_retailprice", False), "p_partkey"], 5))
-query("union_all", "SELECT o_orderkey FROM orders WHERE o_custkey < 100 UNION ALL SELECT o_orderkey FROM orders WHERE o_custkey < 150")(lambda s, d: Union([node(s, d, "orders").filter(col("o_custkey") < k).project(["o_orderkey"]) for k in (100, 150)]).lower(s))
+query("union_all", "SELECT o_orderkey FROM orders UNION ALL SELECT l_orderkey FROM lineitem")(lambda s, d: Union([node(s, d, "orders").project(["o_orderkey"]), node(s, d, "lineitem").project(["l_orderkey"])]).lower(s))
+query("intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")(lambda s, d: Batch(batch(s, d, "customer").df.selectExpr("c_nationkey as k")).intersect(Batch(batch(s, d, "supplier").df.selectExpr("s_nationkey as k"))).df)
+query("except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")(lambda s, d: Batch(batch(s, d, "customer").df.selectExpr("c_custkey as k")).subtract(Batch(batch(s, d, "orders").df.selectExpr("o_custkey as k"))).df)
 query("empty_relation", "SELECT o_orderkey, o_orderstatus FROM orders WHERE false")(lambda s, d: Empty("o_orderkey long, o_orderstatus string").lower(s))
 query("filter_false", "SELECT o_orderkey FROM orders WHERE o_custkey < 0 AND o_custkey > 0")(lambda s, d: node(s, d, "orders").filter((col("o_custkey") < 0) & (col("o_custkey") > 0)).project(["o_orderkey"]).lower(s))
 
@@ -170,11 +175,10 @@ query("filter_false", "SELECT o_orderkey FROM orders WHERE o_custkey < 0 AND o_c
 
 
 def customers_orders(s, d):
-    some = batch(s, d, "orders").filter(col("o_totalprice") > 350000.0).select(["o_orderkey", "o_custkey"])
-    return batch(s, d, "customer").select(["c_custkey", "c_nationkey"]), some
+    return batch(s, d, "customer").select(["c_custkey", "c_nationkey"]), batch(s, d, "orders").select(["o_orderkey", "o_custkey"])
 
 
-_ON = "customer c {} JOIN (SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 350000) o ON c.c_custkey = o.o_custkey"
+_ON = "customer c {} JOIN orders o ON c.c_custkey = o.o_custkey"
 for _how in ("inner", "left", "right", "full"):
 
     @query(f"join_{_how}", f"SELECT c.c_custkey, c.c_nationkey, o.o_orderkey, o.o_custkey FROM {_ON.format(_how.upper())}")
@@ -208,6 +212,13 @@ def join_null_keys(s, d):
     return relational.join(t, n, "k", "left").drop("k")
 
 
+@query("join_null_safe", "WITH t AS (SELECT nullif(c_nationkey, 3) AS k, c_custkey FROM customer), n AS (SELECT nullif(n_nationkey, 3) AS k, n_name FROM nation) SELECT t.c_custkey, n.n_name FROM t JOIN n ON t.k IS NOT DISTINCT FROM n.k")
+def join_null_safe(s, d):
+    t = batch(s, d, "customer").df.select(F.nullif("c_nationkey", F.lit(3)).alias("k"), "c_custkey")
+    n = batch(s, d, "nation").df.select(F.nullif("n_nationkey", F.lit(3)).alias("k"), "n_name")
+    return relational.join(t, n, "k", null_safe=True).drop("k")
+
+
 @query("join_three", """SELECT n_name, count(*) AS "COUNT_o_orderkey" FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
 def join_three(s, d):
     plan = node(s, d, "orders").join(node(s, d, "customer"), [("o_custkey", "c_custkey")]).join(node(s, d, "nation"), [("c_nationkey", "n_nationkey")])
@@ -235,6 +246,20 @@ def _double_batches(batches):
 
 query("udf_batches", "SELECT o_orderkey, o_custkey * 2 AS twice FROM orders")(lambda s, d: batch(s, d, "orders").select(["o_orderkey", "o_custkey"]).map_batches(_double_batches, "o_orderkey long, twice long").df)
 
+def _twice(x):
+    import pyarrow.compute as pc
+
+    return pc.multiply(x, 2)
+
+
+def _longest(t):
+    """A group's row of largest value, ties by the least id."""
+    return t.sort_by([("value", "descending"), ("event_id", "ascending")]).slice(0, 1).select(["user_id", "event_id"])
+
+
+query("udf_column", "SELECT o_orderkey, o_custkey * 2 AS twice FROM orders")(lambda s, d: batch(s, d, "orders").map_column("twice", _twice, ["o_custkey"], "long").select(["o_orderkey", "twice"]).df)
+query("udf_groups", "SELECT user_id, arg_max(event_id, (value, -event_id)) AS event_id FROM events GROUP BY user_id")(lambda s, d: batch(s, d, "events").select(["user_id", "event_id", "value"]).group_by("user_id").map_groups(_longest, "user_id long, event_id long").df)
+
 query("tumbling", "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")(lambda s, d: ranged(batch(s, d, "events").df, "ts", "1 day", [("count", "event_id", "n")], ["event_type"]).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n"))
 query("sliding", "SELECT date_trunc('hour', ts) - to_hours(h) AS window_start, count(*) AS n FROM events, (SELECT unnest([0, 1, 2]) AS h) GROUP BY ALL")(lambda s, d: ranged(batch(s, d, "events").df, "ts", "3 hours", [("count", "event_id", "n")], slide="1 hour").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n"))
 query("session", """WITH g AS (SELECT user_id, ts, event_id, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -243,38 +268,118 @@ query("session", """WITH g AS (SELECT user_id, ts, event_id, CASE WHEN ts >= lag
 
 # --- round trips
 
-_NATION = ["n_nationkey", "n_name", "n_regionkey"]
-_TRIP = "SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, count(n_name) AS n, CAST(sum(n_nationkey) AS BIGINT) AS keys FROM nation GROUP BY n_regionkey"
+_KINDS = "SELECT l_returnflag, count(l_orderkey) AS n, CAST(sum(l_partkey) AS BIGINT) AS parts, min(l_extendedprice) AS least, max(l_shipdate) AS last FROM lineitem GROUP BY l_returnflag"
+_TEXTS = "SELECT doc_id, lang, md5(nullif(text, '')) AS digest FROM documents"
+
 
+def _by_flag(b: Batch) -> DataFrame:
+    df = b.group_by("l_returnflag").agg([("count", "l_orderkey", "n"), ("sum", "l_partkey", "parts"), ("min", "l_extendedprice", "least"), ("max", "l_shipdate", "last")]).df
+    return df.withColumn("last", F.col("last").cast("timestamp_ntz"))
 
-def _summed(b: Batch) -> DataFrame:
-    return b.cast("n_regionkey", "bigint").group_by("n_regionkey").agg([("count", "n_name", "n"), ("sum", "n_nationkey", "keys")]).df
 
+def _digests(b: Batch) -> DataFrame:
+    return b.df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", F.md5(F.nullif("text", F.lit(""))).alias("digest"))
 
-@query("roundtrip_csv", _TRIP)
+
+@query("roundtrip_csv", _KINDS)
 def roundtrip_csv(s, d):
-    sinks.write(batch(s, d, "nation"), path := scratch(s), "csv", header=True)
-    return _summed(scan_csv(path, spark=s).read_all())
+    sinks.write(batch(s, d, "lineitem"), path := scratch(s), "csv", header=True)
+    return _by_flag(scan_csv(path, spark=s).read_all())
+
 
+@query("roundtrip_csv_texts", _TEXTS)
+def roundtrip_csv_texts(s, d):
+    """Texts with quotes and line ends."""
+    sinks.write(batch(s, d, "documents"), path := scratch(s), "csv", header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return _digests(scan_csv(path, spark=s, trim=False).read_columns(["doc_id", "lang", "text"]))
 
-@query("roundtrip_json", _TRIP)
+
+@query("roundtrip_json", _KINDS)
 def roundtrip_json(s, d):
-    sinks.write(batch(s, d, "nation"), path := scratch(s), "json")
-    return _summed(scan_json(path, spark=s).read_columns(_NATION))
+    sinks.write(batch(s, d, "lineitem"), path := scratch(s), "json")
+    return _by_flag(scan_json(path, spark=s).read_columns(["l_returnflag", "l_orderkey", "l_partkey", "l_extendedprice", "l_shipdate"]))
+
+
+@query("roundtrip_json_texts", _TEXTS)
+def roundtrip_json_texts(s, d):
+    sinks.write(batch(s, d, "documents"), path := scratch(s), "json")
+    return _digests(scan_json(path, spark=s).read_columns(["text", "lang", "doc_id"]))
+
+
+def _ipc(s: SparkSession, d: str, name: str, compression: str | None = None):
+    sinks.write_ipc_folder(path := scratch(s).removeprefix("file://"), batch(s, d, name), compression=compression)
+    return scan_ipc(path, s)
+
+
+query("roundtrip_ipc", _KINDS)(lambda s, d: _by_flag(_ipc(s, d, "lineitem", "zstd").read_columns(["l_returnflag", "l_orderkey", "l_partkey", "l_extendedprice", "l_shipdate"])))
+query("roundtrip_ipc_texts", _TEXTS)(lambda s, d: _digests(_ipc(s, d, "documents", "lz4").read_all()))
+query("ipc_filter", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 45")(lambda s, d: _ipc(s, d, "lineitem").filter_parallel("l_quantity", ">", 45).select(["l_orderkey", "l_linenumber"]).df)
+query("ipc_project_at", "SELECT c_custkey, c_nationkey FROM customer")(lambda s, d: _ipc(s, d, "customer").read_columns_at([0, 2]).df)
+query("ipc_empty", "SELECT o_orderkey, o_totalprice FROM orders WHERE false")(lambda s, d: _ipc_empty(s, d))
+
+
+def _ipc_empty(s, d):
+    sinks.write_ipc_folder(path := scratch(s).removeprefix("file://"), batch(s, d, "orders").select(["o_orderkey", "o_totalprice"]).filter("o_orderkey", "<", -1))
+    return scan_ipc(path, s).read_all().df
+
+
+@query("ipc_aggregates", "SELECT CAST(sum(l_partkey) AS BIGINT) AS total, max(l_extendedprice) AS most, count(l_orderkey) AS n, CAST((SELECT sum(l_partkey) FROM lineitem WHERE l_quantity <= 10) AS BIGINT) AS some FROM lineitem")
+def ipc_aggregates(s, d):
+    r = _ipc(s, d, "lineitem", "lz4")
+    row = r.agg_column("sum", "l_partkey"), r.agg_column("max", "l_extendedprice"), r.agg_column("count", "l_orderkey"), r.filter_agg("l_quantity", "le", 10, "l_partkey", "sum")
+    return s.createDataFrame([row], "total long, most double, n long, some long")
+
+
+@query("ipc_batches", "SELECT count(*) AS n, 11 AS columns, count(*) AS counted, count(*) AS read FROM lineitem")
+def ipc_batches(s, d):
+    """Rows by footers and by reading batch after batch."""
+    r = _ipc(s, d, "lineitem")
+    read = sum(r.read_batch(k, ["l_orderkey"]).num_rows for k in range(r.num_batches))
+    return s.createDataFrame([(r.num_rows, r.num_columns, sum(r.batch_row_counts()), read)], "n long, columns int, counted long, read long")
+
+
+@query("parquet_row_groups", "SELECT o_orderkey, o_totalprice FROM orders")
+def parquet_row_groups(s, d):
+    """Read group by group."""
+    sinks.write(batch(s, d, "orders"), path := scratch(s), **{"parquet.block.size": 1 << 17, "parquet.page.size": 1 << 14})
+    r = scan_parquet(path, s)
+    return Union([Scan(r.read_batch(k, ["o_orderkey", "o_totalprice"]).df) for k in range(r.num_batches)]).lower(s)
+
+
+query("scan_metadata", "SELECT count(*) AS n, 6 AS columns, 'o_orderkey' AS first FROM orders")(lambda s, d: s.createDataFrame([((r := scanned(s, d, "orders")).num_rows, r.num_columns, r.column_names[0])], "n long, columns int, first string"))
+query("iter_batches", "SELECT count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer")(lambda s, d: s.createDataFrame([_iterated(batch(s, d, "customer").select(["c_custkey"]))], "n long, keys long"))
 
 
-@query("roundtrip_ipc", _TRIP)
-def roundtrip_ipc(s, d):
-    sinks.write_ipc_folder(path := scratch(s).removeprefix("file://"), batch(s, d, "nation"), compression="zstd")
-    return _summed(scan_ipc(path, s).read_columns(_NATION))
+def _iterated(b: Batch) -> tuple[int, int]:
+    found = [(t.num_rows, sum(t.column(0).to_pylist())) for t in b.iter_batches(700)]
+    return sum(n for n, _ in found), sum(k for _, k in found)
 
 
-@query("roundtrip_parquet_append", "SELECT n_nationkey, count(*) AS n FROM (FROM nation UNION ALL FROM nation) GROUP BY n_nationkey")
+@query("roundtrip_parquet_append", "SELECT o_orderkey, count(*) AS n FROM (FROM orders UNION ALL FROM orders) GROUP BY o_orderkey")
 def roundtrip_parquet_append(s, d):
     path = scratch(s)
     for append in (False, True):
-        sinks.write(batch(s, d, "nation"), path, append=append)
-    return scan_parquet(path, s).read_all().group_by("n_nationkey").agg([("count", "n_name", "n")]).df
+        sinks.write(batch(s, d, "orders"), path, append=append)
+    return scan_parquet(path, s).read_all().group_by("o_orderkey").agg([("count", "o_custkey", "n")]).df
+
+
+@query("stream_filter", "SELECT event_id, value FROM events WHERE value > 50 AND event_type <> 'view'")
+def stream_filter(s, d):
+    events = scanned(s, d, "events").df
+    sinks.write(Batch(events), path := scratch(s))
+    kept = stream_of(s, path, events.schema).filter(((col("value") > 50) & (col("event_type") != "view")).column(events.schema))
+    run_available(kept.select("event_id", "value"), out := scratch(s), scratch(s))
+    return s.read.parquet(out)
+
+
+@query("stream_tumbling", "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events WHERE ts < (SELECT date_trunc('day', max(ts)) FROM events) GROUP BY ALL")
+def stream_tumbling(s, d):
+    """Windows that the watermark has passed: all but those of the last day."""
+    events = scanned(s, d, "events").df
+    sinks.write(Batch(events), path := scratch(s))
+    counted = ranged(watermarked(stream_of(s, path, events.schema), "ts", "0 seconds"), "ts", "1 day", [("count", "event_id", "n")], ["event_type"])
+    run_available(counted, out := scratch(s), scratch(s))
+    return s.read.parquet(out).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
 
 FLAGSHIP = "pricing_summary"
