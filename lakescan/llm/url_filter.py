@@ -1,9 +1,11 @@
 """URL filters: fixed rules, then association rules mined from labelled pages.
 
-A URL becomes a set of tokens: labels of its host, their parts between hyphens, and path
+A URL becomes a set of tokens: the words of its host, between dots and hyphens, and path
 segments without digits.  FP-growth mines frequent combinations over the labelled pages,
-those marked bad carrying one more item.  Rules that conclude it and pass the least
-support and confidence are kept; a rule that contains another kept one is dropped.  Rules are
+those marked bad carrying one more item.  Rules that conclude it are kept if they pass the least
+support, as a share and as a number of bad pages, the least confidence, and a bound on chance: among the pages that hold
+a rule's tokens there are more bad ones than all pages' share lets expect, by ``deviations`` standard deviations.
+A rule whose tokens include all of another kept one's is dropped.  Rules are
 held in an inverted index under one of their tokens, the rarest.  The tokens of each different URL
 are looked up there, and a rule fires if all its tokens are in the set.
 
@@ -11,7 +13,8 @@ Only DataFrame operations and the JVM's FP-growth are used.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, fits no rule
 and is allowed.  Without labelled pages, or without rules that pass, the verdict is
-``allow`` where no fixed rule fits.  Repeated rows get the same verdict; columns of other
+``allow`` where no fixed rule fits.  A page whose label is null counts as not bad.  URLs of any length are read whole.
+Of fixed rules of equal length only one can fit.  Repeated rows get the same verdict; columns of other
 names are ignored.  Empty tables give empty tables.
 """
 
@@ -47,27 +50,35 @@ def fitting(rules=RULES):
 
 def tokens():
     """Of host and path, a set without nulls or empty tokens."""
-    labels = F.split("host", r"\.")
-    words = F.flatten(F.transform(labels, lambda x: F.split(x, "-")))
-    segments = F.filter(F.split("path", "/"), lambda x: (x != "") & ~x.rlike("[0-9]"))
-    tagged = F.concat(F.transform(labels, lambda x: F.concat(F.lit("h:"), x)), F.transform(words, lambda x: F.concat(F.lit("w:"), x)), F.transform(segments, lambda x: F.concat(F.lit("p:"), x)))
+    words = F.split("host", "[.-]")
+    segments = F.filter(F.split("path", "/"), lambda x: ~x.rlike("[0-9]"))
+    tagged = F.concat(F.transform(words, lambda x: F.concat(F.lit("h:"), x)), F.transform(segments, lambda x: F.concat(F.lit("p:"), x)))
     return F.array_distinct(F.filter(tagged, lambda x: F.length(x) > 2))
 
 
-def mine(labelled: DataFrame, support: float, confidence: float) -> DataFrame:
+def mine(labelled: DataFrame, support: float, confidence: float, least: int, deviations: float) -> DataFrame:
     """rule_tokens, confidence, support of pruned rules; labelled: host, path, bad."""
     schema = "rule_tokens array<string>, confidence double, support double"
     spark = labelled.sparkSession
-    if labelled.isEmpty():
+    bad = F.coalesce(F.col("bad"), F.lit(False))
+    pages, share = labelled.agg(F.count(F.lit(1)), F.avg(bad.cast("double"))).first()
+    if not pages or pages * share < least:
         return spark.createDataFrame([], schema)
-    items = labelled.select(F.when(F.coalesce(F.col("bad"), F.lit(False)), F.array_append(tokens(), F.lit(BAD))).otherwise(tokens()).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
+    items = labelled.select(F.when(bad, F.array_append(tokens(), F.lit(BAD))).otherwise(tokens()).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=max(support, (least - 0.5) / pages), minConfidence=confidence).fit(items)
     rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD)).select(F.array_sort("antecedent").alias("rule_tokens"), "confidence", "support")
-    rules = materialise(rules)  # a few rows; used three times
-    # A rule whose antecedent holds another rule's adds nothing: that one fires as well.  Least support bounds their number.
-    one = rules.where(F.size("rule_tokens") == 1).select(F.col("rule_tokens")[0].alias("token"))
-    wide = rules.where(F.size("rule_tokens") > 1).withColumn("token", F.explode("rule_tokens"))
-    covered = wide.join(one, "token", "left_semi").select("rule_tokens").distinct()
+    held = F.col("support") * pages / F.col("confidence")
+    chance = (F.col("confidence") - share) * F.sqrt(held) >= deviations * (share * (1 - share)) ** 0.5
+    rules = materialise(rules.where((F.round(F.col("support") * pages) >= least) & chance))
+    return without_wider(rules)
+
+
+def without_wider(rules: DataFrame) -> DataFrame:
+    """The rules whose tokens don't include all of another's: that one fires as well.  Each rule is looked up under its first token."""
+    first = rules.select(F.col("rule_tokens")[0].alias("token"), F.col("rule_tokens").alias("inner"))
+    wide = rules.where(F.size("rule_tokens") > 1).select("rule_tokens", F.explode("rule_tokens").alias("token"))
+    inside = (F.size("inner") < F.size("rule_tokens")) & (F.size(F.array_except("inner", "rule_tokens")) == 0)
+    covered = wide.join(first, "token").where(inside).select("rule_tokens").distinct()
     return rules.join(covered, "rule_tokens", "left_anti")
 
 
@@ -79,13 +90,13 @@ def index(rules: DataFrame, labelled: DataFrame) -> DataFrame:
     return rarest.select(F.col("r.token").alias("token"), "rule_tokens", "confidence")
 
 
-def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, support: float = 0.002, confidence: float = 0.6) -> DataFrame:
+def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, support: float = 0.002, confidence: float = 0.6, least: int = 10, deviations: float = 4.0) -> DataFrame:
     """pages with host, path, rule, verdict and the confidence of the mined rule that fired, if any.
 
     labelled: url, bad.
     """
     known = parsed(labelled.select("url", "bad"))
-    mined = index(mine(known, support, confidence), known)
+    mined = index(mine(known, support, confidence, least, deviations), known)
     rows = parsed(pages.drop("mined_confidence"))
     looked = rows.select("host", "path").distinct().withColumn("tokens", tokens())
     hits = looked.select("host", "path", "tokens", F.explode("tokens").alias("token")).join(mined, "token")
