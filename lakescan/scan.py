@@ -21,6 +21,10 @@ from lakescan.sources import arrow_ipc, csv, json, parquet
 from lakescan.sources.files import listed, local
 
 
+#: Files whose footers the driver reads itself to count rows.
+FEW = 64
+
+
 class ScanResult:
     """Lazy: opening reads the schema (and, for text, the records that decide the types)."""
 
@@ -38,7 +42,9 @@ class ScanResult:
 
     @property
     def num_rows(self) -> int:
-        """Counted by the executors: of Parquet from the footers, of IPC from one column."""
+        """Of few Parquet files from their footers.  Else counted by the executors, of IPC from one column."""
+        if self.format == "parquet" and len(files := listed(self.spark, self.path)) <= FEW:
+            return sum(n for _, _, n in parquet.row_groups(self.spark, files))
         return (self._frame(self.df.columns[:1]) if self.format == "ipc" else self.df).count()
 
     def __len__(self) -> int:

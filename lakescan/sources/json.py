@@ -57,8 +57,9 @@ def read(spark: SparkSession, path: str, form: str = "auto", sample: int = SAMPL
     needed(spark, path)
     records = None
     marked = F.col("value").startswith("\ufeff")
-    lines = spark.read.text(path).select(F.when(marked, F.substring("value", 2, 1 << 30)).otherwise(F.col("value")).alias("value")).where(F.btrim("value", F.lit(" \t\r")) != "")
-    first = lines.select(F.substring(F.ltrim("value"), 1, 1).alias("c")).first()
+    lines = spark.read.text(path).select(F.when(marked, F.substring("value", 2, 1 << 30)).otherwise(F.col("value")).alias("value"))
+    filled = lines.where(F.btrim("value", F.lit(" \t\r")) != "")
+    first = filled.select(F.substring(F.ltrim("value"), 1, 1).alias("c")).first()
     if first is None:
         raise OSError(f"{path} has no records")
     if form == "array" or form == "auto" and first["c"] == "[":
@@ -67,7 +68,7 @@ def read(spark: SparkSession, path: str, form: str = "auto", sample: int = SAMPL
         records = whole.select(F.explode(parsed).alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
         texts = [r["t"] for r in records.select(F.to_json("v").alias("t")).limit(sample).collect()]
     else:
-        texts = [r["value"] for r in lines.limit(sample).collect()]
+        texts = [r["value"] for r in filled.limit(sample).collect()]
     kinds: dict[str, set[str]] = {}
     for k, t in enumerate(texts):
         try:
@@ -96,17 +97,18 @@ def _lines(lines: DataFrame, typed: dict[str, str]) -> DataFrame:
     parsed = F.from_json("value", f"struct<{', '.join([*names, f'`{MISFIT}` string'])}>", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": MISFIT})
     rows = lines.select("value", parsed.alias("t"))
     t = F.col("t")
-    odd = t.isNull() | t[MISFIT].isNotNull() | (F.instr("value", "}") != F.length(F.rtrim("value", F.lit(" \t\r"))))
+    odd = t.isNull() | t[MISFIT].isNotNull() | (F.instr("value", "}") != F.length("value"))
     for name, kind in typed.items():
         if kind == "string":
             odd = odd | F.coalesce(t[name].rlike(SHAPED), F.lit(False))
+    # The rows' numbers keep the filter from being moved below the parsing, which it would repeat.
+    rows = rows.select("t", F.when(odd, F.col("value")).alias("value"), F.monotonically_increasing_id().alias("at"))
     put = F.try_parse_json(F.concat(F.lit('{"r":['), "value", F.lit('],"end":true}')))
-    rows = rows.select("t", F.when(odd, F.coalesce(put, F.parse_json(F.lit("{}")))).alias("v"), F.when(odd, F.col("value")).alias("value"))
-    v = F.col("v")
-    whole = v.isNull() | (F.coalesce(F.try_variant_get(v, "$.end", "boolean"), F.lit(False)) & F.try_variant_get(v, "$.r[1]", "variant").isNull())
-    bad = F.raise_error(F.concat(F.lit("malformed record: "), F.substring("value", 1, 80)))
-    # What is generated is computed whichever columns are asked for, and if none are.
-    rows = rows.select("t", "v", F.explode(F.when(whole, F.array(F.lit(0))).otherwise(F.array(bad.cast("int")))).alias("ok")).where("ok = 0")
+    rows = rows.select("t", "value", "at", F.when(F.col("value").isNotNull(), F.coalesce(put, F.parse_json(F.lit("{}")))).alias("v"))
+    v, blank = F.col("v"), F.btrim("value", F.lit(" \t\r")) == ""
+    whole = F.coalesce(F.try_variant_get(v, "$.end", "boolean"), F.lit(False)) & F.try_variant_get(v, "$.r[1]", "variant").isNull()
+    bad = F.raise_error(F.concat(F.lit("malformed record: "), F.substring("value", 1, 80))).cast("boolean")
+    rows = rows.where(F.when(v.isNull(), F.col("at") >= 0).when(blank, False).when(whole, True).otherwise(bad))
     rows = rows.select("t", v.isNotNull().alias("misfit"), F.when(v.isNotNull(), F.try_variant_get("v", "$.r[0]", "map<string,variant>")).alias("m"))
     out = []
     for name, kind in typed.items():
