@@ -13,8 +13,8 @@ of which that quantile of all rows is 0, and all of them in tables with fewer th
 The thresholds are joined to the rows; rows are not regrouped for it.
 
 Defined cases: a null text has no words and fails.  Null languages or sources form groups
-of their own.  Rows are judged one by one, so repeats get the same verdict.  An empty
-table gives an empty table.
+of their own.  Rows are judged one by one, so repeats get the same verdict.  Ratios that tie with a threshold
+pass.  Texts of any length are read whole.  Null doc_ids and columns of other names are passed on by ``keep``.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
