@@ -2,7 +2,7 @@
 
 from lakescan.array import Array, ArrayBuilder, from_bool_list, from_f32_list, from_f64_list, from_i32_list, from_i64_list, from_str_list, import_array
 from lakescan.frame import Batch, empty, from_arrow, from_batch
-from lakescan.functions import case, cast, col, lit
+from lakescan.functions import call, case, cast, col, lit
 from lakescan.plans import QueryPlan
 from lakescan.scan import ScanResult, scan, scan_csv, scan_ipc, scan_json, scan_parquet
 from lakescan.schema import Schema
@@ -18,7 +18,7 @@ def version() -> str:
 
 __all__ = [
     "Array", "ArrayBuilder", "Batch", "EngineConfig", "QueryPlan", "ScanResult", "Schema",
-    "append_ipc_file", "case", "cast", "col", "empty", "from_arrow", "from_batch", "from_bool_list", "from_f32_list", "from_f64_list",
+    "append_ipc_file", "call", "case", "cast", "col", "empty", "from_arrow", "from_batch", "from_bool_list", "from_f32_list", "from_f64_list",
     "from_i32_list", "from_i64_list", "from_str_list", "get_spark", "import_array", "lit", "scan", "scan_csv", "scan_ipc", "scan_json",
     "scan_parquet", "version", "write", "write_ipc_batches", "write_ipc_file", "write_ipc_folder",
 ]

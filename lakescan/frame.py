@@ -133,6 +133,11 @@ class Batch:
         need_columns(self.df.columns, keys)
         return Grouped(self.df, list(keys))
 
+    def rollup(self, keys: list[str], aggregates: list[tuple], cube: bool = False) -> Batch:
+        """Groups by all leading keys, or by all subsets of them; null where a key is summed over."""
+        need_columns(self.df.columns, keys)
+        return Batch(relational.rollup(self.df, keys, aggregates, cube))
+
     # -- order, sets and joins
     def sort(self, by: list[tuple[str, bool] | str], nulls_first: bool = False) -> Batch:
         return Batch(relational.sort(self.df, by, nulls_first))
@@ -143,6 +148,10 @@ class Batch:
     def join(self, other: Batch, on: list[tuple[str, str] | str] | str | None = None, how: str = "inner") -> Batch:
         return Batch(relational.join(self.df, other.df, on, how))
 
+    def join_asof(self, other: Batch, at: tuple[str, str], by: list[str], values: list[str]) -> Batch:
+        """With the values of the other's last row at or before the time."""
+        return Batch(relational.asof(self.df, other.df, at, by, values))
+
     def union(self, *others: Batch) -> Batch:
         return Batch(relational.union_all([self.df, *(o.df for o in others)]))
 

@@ -1,4 +1,4 @@
-"""Aggregates by name: sum, mean (avg), min, max, count."""
+"""Aggregates by name: sum, mean (avg), min, max, count, and count_distinct, stddev and variance (of a sample)."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from lakescan.dtypes import is_numeric
 
-AGGREGATES: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "count": F.count}
+AGGREGATES: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "count": F.count, "count_distinct": F.count_distinct, "stddev": F.stddev_samp, "variance": F.var_samp}
 
 
 def aggregate_name(name: str) -> str:
@@ -28,6 +28,6 @@ def alias_of(op: str, column: str) -> str:
 def aggregate_of(op: str, column: str, kind: T.DataType) -> Column:
     """SQL semantics: nulls are skipped; without values a count is 0 and the others null."""
     op = aggregate_name(op)
-    if op in ("sum", "mean") and not is_numeric(kind):
+    if op in ("sum", "mean", "stddev", "variance") and not is_numeric(kind):
         raise TypeError(f"{op} needs a number; {column!r} is {kind.simpleString()}")
     return AGGREGATES[op](F.col("`" + column.replace("`", "``") + "`"))

@@ -135,6 +135,8 @@ class Expr:
                 return f"({a[0]!r} IS NULL)"
             case "in":
                 return f"({a[0]!r} IN {a[1]!r})"
+            case "call":
+                return f"{a[0]}({', '.join(map(repr, a[1]))})"
             case "like" | "matches":
                 return f"({a[0]!r} {'LIKE' if self.kind == 'like' else 'RLIKE'} {a[1]!r})"
             case "cast":
@@ -184,6 +186,8 @@ class Expr:
                 return left.like(a[1]) if self.kind == "like" else left.rlike(a[1])
             case "cast":
                 return a[0]._lower(schema).try_cast(a[1])
+            case "call":
+                return F.call_function(a[0], *(x._lower(schema) for x in a[1]))
             case "case":
                 out = a[2]._lower(schema)
                 for c, v in reversed(list(zip(a[0], a[1], strict=True))):
@@ -218,6 +222,17 @@ def cast(e: Expr, to: str) -> Expr:
     return Expr("cast", (e, to))
 
 
+#: Functions by name that mean the same in any SQL.
+FUNCTIONS = ("abs", "ceil", "coalesce", "concat", "day", "exp", "floor", "greatest", "least", "length", "ln", "lower", "ltrim", "month", "nullif", "pow", "replace", "round", "rtrim", "sqrt", "substring", "trim", "upper", "year")
+
+
+def call(name: str, *args: Any) -> Expr:
+    """One of FUNCTIONS."""
+    if name not in FUNCTIONS:
+        raise ValueError(f"unknown function {name!r}; there are {', '.join(FUNCTIONS)}")
+    return Expr("call", (name, tuple(a if isinstance(a, Expr) else lit(a) for a in args)))
+
+
 def case(whens: list[tuple[Expr, Any]], otherwise: Any = None) -> Expr:
     wrap = lambda v: v if isinstance(v, Expr) else lit(v)
     return Expr("case", (tuple(c for c, _ in whens), tuple(wrap(v) for _, v in whens), wrap(otherwise)))

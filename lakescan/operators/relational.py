@@ -28,6 +28,12 @@ def aggregate(df: DataFrame, keys: list[str], aggregates: list[tuple]) -> DataFr
     return df.groupBy(*map(quoted, keys)).agg(*made) if keys else df.agg(*made)
 
 
+def rollup(df: DataFrame, keys: list[str], aggregates: list[tuple], cube: bool = False) -> DataFrame:
+    need_columns(df.columns, [*keys, *(a[1] for a in aggregates)])
+    made = [aggregate_of(op, c, df.schema[c].dataType).alias(alias[0] if alias and alias[0] else alias_of(op, c)) for op, c, *alias in aggregates]
+    return (df.cube if cube else df.rollup)(*map(quoted, keys)).agg(*made)
+
+
 def sort(df: DataFrame, by: list, nulls_first: bool = False) -> DataFrame:
     """Names, or (name, ascending); the place of nulls is always stated."""
     pairs = [(b, True) if isinstance(b, str) else b for b in by]
@@ -74,6 +80,25 @@ def join(left: DataFrame, right: DataFrame, on, how: str = "inner", null_safe: b
     return out.select(*shown, *(side[quoted(new[n])] for n in kept if n not in same))
 
 
+def asof(left: DataFrame, right: DataFrame, at: tuple[str, str], by: list[str], values: list[str]) -> DataFrame:
+    """Rows of left with the values of right's last row at or before their time, of equal keys ``by``; null if there is none.
+
+    Both sides are dealt out by key and passed once in the order of time: no pairs are made.  Of right's rows at one time the one with the
+    greatest values counts.  A null time comes before all others and meets none.
+    """
+    need_columns(left.columns, [*by, at[0]])
+    need_columns(right.columns, [*by, at[1], *values])
+    new = {v: v + "_right" if v in left.columns else v for v in values}
+    held = F.struct(*(F.col(quoted(v)).alias(n) for v, n in new.items())).alias("__held")
+    keys = [F.col(quoted(k)).alias(f"__k{i}") for i, k in enumerate(by)]
+    row = F.struct(*map(quoted, left.columns)).alias("__row")
+    a = left.select(*keys, F.col(quoted(at[0])).alias("__at"), F.lit(1).alias("__side"), row, F.lit(None).cast(right.select(held).schema["__held"].dataType).alias("__held"))
+    b = right.where(F.col(quoted(at[1])).isNotNull()).select(*keys, F.col(quoted(at[1])).alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(left.select(row).schema["__row"].dataType).alias("__row"), held)
+    w = Window.partitionBy(*(f"__k{i}" for i in range(len(by)))).orderBy("__at", "__side", "__held").rowsBetween(Window.unboundedPreceding, 0)
+    both = a.unionByName(b).withColumn("__last", F.last("__held", ignorenulls=True).over(w)).where("__side = 1")
+    return both.select("__row.*", *(F.col("__last")[n].alias(n) for n in new.values()))
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """By position."""
     if not frames:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakescan import sinks
 from lakescan.frame import Batch
-from lakescan.functions import Expr, case, cast, col
+from lakescan.functions import Expr, call, case, cast, col, lit
 from lakescan.operators import relational
 from lakescan.plans import Empty, Plan, QueryPlan, Scan, Union
 from lakescan.scan import scan_csv, scan_ipc, scan_json, scan_parquet
@@ -128,6 +128,9 @@ query("fused_scalar", "SELECT CAST(sum(o_custkey) AS BIGINT) AS total FROM order
 query("agg_scalars", "SELECT CAST(sum(o_custkey) AS BIGINT) AS total, min(o_orderkey) AS least, count(o_orderstatus) AS n FROM orders")(lambda s, d: s.createDataFrame([(batch(s, d, "orders").agg("sum", "o_custkey"), scanned(s, d, "orders").agg_column("min", "o_orderkey"), scanned(s, d, "orders").agg_column("count", "o_orderstatus"))], "total long, least long, n long"))
 query("agg_empty", "SELECT CAST(sum(l_quantity) AS DOUBLE) AS s, avg(l_quantity) AS m, min(l_quantity) AS lo, max(l_quantity) AS hi, count(l_quantity) AS n FROM lineitem WHERE false")(lambda s, d: batch(s, d, "lineitem").filter(col("l_quantity") < -1).aggregate([("sum", "l_quantity", "s"), ("mean", "l_quantity", "m"), ("min", "l_quantity", "lo"), ("max", "l_quantity", "hi"), ("count", "l_quantity", "n")]).df)
 query("multi_agg_default_alias", 'SELECT count(o_custkey) AS "COUNT_o_custkey", max(o_custkey) AS "MAX_o_custkey" FROM orders')(lambda s, d: QueryPlan().aggregate("count", "o_custkey").aggregate("max", "o_custkey").lower(batch(s, d, "orders")).df)
+query("agg_distinct", "SELECT l_returnflag, count(DISTINCT l_suppkey) AS sellers, round(stddev(l_quantity), 6) AS spread FROM lineitem GROUP BY l_returnflag")(lambda s, d: batch(s, d, "lineitem").group_by("l_returnflag").agg([("count_distinct", "l_suppkey", "sellers"), ("stddev", "l_quantity", "spread")]).df.withColumn("spread", F.round("spread", 6)))
+query("rollup", "SELECT l_returnflag, l_linestatus, count(l_orderkey) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")(lambda s, d: batch(s, d, "lineitem").rollup(["l_returnflag", "l_linestatus"], [("count", "l_orderkey", "n")]).df)
+query("cube", "SELECT o_orderstatus, o_orderpriority, max(o_totalprice) AS most FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")(lambda s, d: batch(s, d, "orders").rollup(["o_orderstatus", "o_orderpriority"], [("max", "o_totalprice", "most")], cube=True).df)
 query("group_by_one", "SELECT o_orderstatus, count(o_orderkey) AS n, min(o_totalprice) AS lo FROM orders GROUP BY o_orderstatus")(lambda s, d: batch(s, d, "orders").group_by("o_orderstatus").agg([("count", "o_orderkey", "n"), ("min", "o_totalprice", "lo")]).df)
 query("group_by_two", "SELECT l_returnflag, l_linestatus, CAST(sum(l_linenumber) AS BIGINT) AS lines, count(l_orderkey) AS n FROM lineitem GROUP BY ALL")(lambda s, d: node(s, d, "lineitem").aggregate([("sum", "l_linenumber", "lines"), ("count", "l_orderkey", "n")], ["l_returnflag", "l_linestatus"]).lower(s))
 query("distinct", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")(lambda s, d: batch(s, d, "lineitem").select(["l_returnflag", "l_linestatus"]).distinct().df)
@@ -219,6 +222,15 @@ def join_null_safe(s, d):
     return relational.join(t, n, "k", null_safe=True).drop("k")
 
 
+@query("join_asof", """WITH a AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), b AS (SELECT user_id, ts AS clicked, max(event_id) AS click FROM events WHERE event_type = 'click' GROUP BY ALL)
+    SELECT a.event_id, a.user_id, b.click, b.clicked FROM a ASOF LEFT JOIN b ON a.user_id = b.user_id AND a.ts >= b.clicked""")
+def join_asof(s, d):
+    """Each purchase with the user's last click before it."""
+    events = batch(s, d, "events")
+    clicks = Batch(events.filter("event_type", "=", "click").df.selectExpr("user_id", "ts as clicked", "event_id as click"))
+    return events.filter("event_type", "=", "purchase").join_asof(clicks, ("ts", "clicked"), ["user_id"], ["click", "clicked"]).select(["event_id", "user_id", "click", "clicked"]).df
+
+
 @query("join_three", """SELECT n_name, count(*) AS "COUNT_o_orderkey" FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
 def join_three(s, d):
     plan = node(s, d, "orders").join(node(s, d, "customer"), [("o_custkey", "c_custkey")]).join(node(s, d, "nation"), [("c_nationkey", "n_nationkey")])
@@ -231,6 +243,7 @@ query("with_column", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (
 query("cast", "SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey FROM orders")(lambda s, d: batch(s, d, "orders").select(["o_orderkey", "o_custkey"]).cast("o_custkey", "string").df)
 query("try_cast", "SELECT o_orderkey, try_cast(o_orderpriority AS INTEGER) AS p FROM orders")(lambda s, d: batch(s, d, "orders").with_column("p", cast(col("o_orderpriority"), "int")).select(["o_orderkey", "p"]).df)
 query("case", "SELECT event_id, CASE WHEN value > 80 THEN 'high' WHEN value > 20 THEN 'mid' ELSE 'low' END AS band FROM events")(lambda s, d: batch(s, d, "events").with_column("band", case([(col("value") > 80.0, "high"), (col("value") > 20.0, "mid")], "low")).select(["event_id", "band"]).df)
+query("functions", "SELECT o_orderkey, upper(substring(o_orderpriority, 3, 4)) AS p, CAST(length(o_orderpriority) AS INTEGER) AS len, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(floor(o_totalprice) AS BIGINT) AS f, greatest(o_custkey, 500) AS g FROM orders")(lambda s, d: batch(s, d, "orders").with_column("p", call("upper", call("substring", col("o_orderpriority"), 3, 4))).with_column("len", call("length", col("o_orderpriority"))).with_column("y", call("year", col("o_orderdate"))).with_column("f", call("floor", col("o_totalprice"))).with_column("g", call("greatest", col("o_custkey"), cast(lit(500), "bigint"))).select(["o_orderkey", "p", "len", "y", "f", "g"]).df)
 query("window_rank", "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS INTEGER) AS rank FROM orders")(lambda s, d: relational.ranked(batch(s, d, "orders").df, ["o_custkey"], [("o_totalprice", False), "o_orderkey"]).select("o_orderkey", "rank"))
 query("window_sum", "SELECT l_orderkey, l_linenumber, CAST(sum(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS parts FROM lineitem")(lambda s, d: relational.running(batch(s, d, "lineitem").df, ["l_orderkey"], ["l_linenumber", "l_partkey"], "sum", "l_partkey", "parts").select("l_orderkey", "l_linenumber", "parts"))
 query("window_lag", "SELECT event_id, lag(event_id, 1) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events")(lambda s, d: relational.shifted(batch(s, d, "events").df, ["user_id"], ["ts", "event_id"], "event_id", 1, "previous").select("event_id", "previous"))

@@ -70,14 +70,14 @@ def read(spark: SparkSession, path: str, has_header: bool = True, delimiter: str
     out = []
     for k, (name, kind) in enumerate(zip(names, kinds, strict=True)):
         c, text = F.col(f"c{k}"), cell(F.col("again")[f"c{k}"])
+        last = F.substring(c, -1, 1)
         if kind == "double":
-            c = cell(c)
-            # Of what a cast takes the inference refuses hexadecimals and type letters, which end in d or f, as does inf.
-            last = F.substring(c, -1, 1)
-            fits = F.when((last < "0") | (last > "9"), c.rlike(FLOAT)).otherwise(~F.contains(c, F.lit("x")) & ~F.contains(c, F.lit("X")))
+            # Of what a cast takes the inference refuses hexadecimals and type letters, which end in d or f, as does inf.  A cast trims.
+            fits = F.when((last < "0") | (last > "9"), cell(c).rlike(FLOAT)).otherwise(~F.contains(c, F.lit("x")) & ~F.contains(c, F.lit("X")))
             c = F.when(fits, c.try_cast("double"))
         elif kind not in ("bigint", "boolean"):
-            c = cell(c)
+            # The reader has trimmed what isn't quoted.
+            c = F.when((F.ascii(c) <= 32) | (last <= " "), cell(c)).otherwise(c) if trim else c
             c = F.when(c != "", c)
         out.append(F.when(F.col("again").isNotNull(), converted(text, kind)).otherwise(c).alias(name))
     return rows.select(*out)

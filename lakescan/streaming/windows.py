@@ -47,6 +47,11 @@ def stream_of(spark: SparkSession, path: str, schema: T.StructType, form: str =
     return (source.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else source).load(path)
 
 
+def stream_from(spark: SparkSession, form: str, **options) -> DataFrame:
+    """A stream of any source that Spark has, such as rate or, with its package, kafka."""
+    return spark.readStream.format(form).options(**options).load()
+
+
 def run_available(df: DataFrame, sink: str, checkpoint: str, form: str = "parquet", mode: str = "append") -> StreamingQuery:
     """Processes what is there and ends.  With the checkpoint, file sinks are exactly-once over restarts."""
     q = df.writeStream.format(form).outputMode(mode).option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
