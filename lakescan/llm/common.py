@@ -46,9 +46,15 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """When the driver's JVM ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 class Tables:
     """Tables written to the shared folder to cut the lineage.  They are compressed, the planner knows their size,
-    and whoever made them deletes them when nothing reads them any more."""
+    and whoever made them deletes them when nothing reads them any more.  What a returned DataFrame still reads goes when the driver ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.path, self.made = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}", 0
@@ -57,6 +63,8 @@ class Tables:
         self.made += 1
         path = f"{self.path}/{self.made}"
         df.write.parquet(path)
+        if self.made == 1:
+            delete_at_end(self.spark, self.path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._path = path
         return out

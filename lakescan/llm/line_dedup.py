@@ -93,14 +93,15 @@ def chosen(docs: DataFrame, tables: Tables, least: int = LEAST, **tree) -> DataF
 
 def dedup(docs: DataFrame, least: int = LEAST, **tree) -> DataFrame:
     """docs with shorter texts, and n_dropped."""
-    tables = Tables(docs.sparkSession)
+    tables, kept = Tables(docs.sparkSession), Tables(docs.sparkSession)
     own = tables.put(chosen(docs, tables, least, **tree))
     first = tables.put(own.groupBy("template").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).where(F.col("first_doc").isNotNull()))
     lost = dealt_join(own, first, "template", ["doc_id", "th", "line"]).where(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("first_doc")))
-    lost = lost.groupBy("doc_id", "th").agg(F.collect_list("line").alias("__lost")).withColumnsRenamed({"doc_id": "__id", "th": "__th"})
+    lost = kept.put(lost.groupBy("doc_id", "th").agg(F.collect_list("line").alias("__lost")).withColumnsRenamed({"doc_id": "__id", "th": "__th"}))
+    tables.clear()
     # The text goes through the join as its lines, which are then picked by number.
     out = docs.withColumns({"__h": F.xxhash64(whole_text()), "text": F.split("text", "\n")})
     out = out.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th")), "left")
     numbers = F.array_except(F.sequence(F.lit(0), F.size("text") - 1), "__lost")
-    kept = F.when(F.col("__lost").isNull(), F.col("text")).otherwise(F.transform(numbers, lambda k: F.get("text", k)))
-    return out.withColumns({"text": F.array_join(kept, "\n"), "n_dropped": F.coalesce(F.size("__lost"), F.lit(0))}).drop("__h", "__id", "__th", "__lost")
+    left = F.when(F.col("__lost").isNull(), F.col("text")).otherwise(F.transform(numbers, lambda k: F.get("text", k)))
+    return out.withColumns({"text": F.array_join(left, "\n"), "n_dropped": F.coalesce(F.size("__lost"), F.lit(0))}).drop("__h", "__id", "__th", "__lost")

@@ -15,7 +15,7 @@ places and sizes bound how many they can share.  Only texts of different compone
 paired: for each shingle those outside its largest component with all others.
 
 Words are those of SimHash.  Defined cases: fewer than five words are one shingle; texts
-without words are alike.  Texts are known by a 64-bit hash of theirs, shingles by 32 bits when compared.
+without words are alike, and nulls are empty.  Repeated rows count as one text.  Texts are known by a 64-bit hash of theirs, shingles by 32 bits when compared.
 """
 
 from __future__ import annotations
