@@ -21,12 +21,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each stage's result is written to the shared folder and read again."""
-    from lakescan.llm.common import shared_folder
+    """Each stage's result is written to the shared folder and read again; it goes when the next is written, the last when the driver ends."""
+    from lakescan.llm.common import delete, delete_at_end, shared_folder
 
     base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
+        if k:
+            delete(spark, f"{base}/{k - 1}")
+        else:
+            delete_at_end(spark, base)
     return docs
