@@ -8,8 +8,10 @@ those within four bits, one of which is the home of any word one bit away.  So e
 fingerprint has one home key for each pair of segments, and some 28 search keys for
 each; a join of search with home keys finds every link, and a bit count verifies it.
 
-A bucket with more than ``bucket`` different homes is not enumerated.  What belongs to or
-searches such a bucket is linked in an exact way whose rows grow in proportion to the
+A bucket with more than ``bucket`` different homes is not enumerated, as all are from some 10^9 fingerprints on.  What belongs to or
+searches such a bucket gets longer keys: of four segments of 16 bits one then holds no error, and two of the other three one each at most, so
+a key joins the one as it is with the codewords of two others, 40 bits.  Twelve home keys and some 340 search keys come of it, which only
+crowded fingerprints pay for.  What is crowded even so, by dense groups, is linked in an exact way whose rows grow in proportion to the
 fingerprints: two within two bits share a point one bit from both, so everything one
 bit around a point is one group.  The largest group so formed needs no further search in
 itself; the others look for points that are two bits from them and one bit from
@@ -21,7 +23,7 @@ from star rounds.
 Defined cases: a null text is an empty text.  A text without words has fingerprint zero
 and links as any other.  Fewer words than a shingle: the whole sequence is the shingle.
 Null doc_ids get a fingerprint and follow their component, but never name it if another
-id is there.  Repeated rows give repeated rows.  Empty tables give empty tables.
+id is there.  Repeated rows give repeated rows.  Texts of any length are read whole, block by block.  Columns of other names are ignored.  Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -39,9 +41,12 @@ from lakescan.llm import golay, similar
 from lakescan.llm.common import Tables, dealt_join, map_rows, whole_text
 from lakescan.llm.components import components
 
-#: First bit and width of each segment.
-SEGMENTS = ((0, 22), (22, 21), (43, 21))
-PAIRS = tuple(combinations(range(3), 2))
+#: First bit and width of each segment, and the segments of each key: one that is taken as it is (or none), two that are decoded.
+#: First the short keys, then the long ones.
+LEVELS = (
+    (((0, 22), (22, 21), (43, 21)), tuple((None, *p) for p in combinations(range(3), 2))),
+    (((0, 16), (16, 16), (32, 16), (48, 16)), tuple((e, *p) for e in range(4) for p in combinations([k for k in range(4) if k != e], 2))),
+)
 SEED, BLOCK = 42, 1 << 15
 #: Differing bits of a link; the segments and the groups around points are made for three.
 BITS = 3
@@ -73,21 +78,18 @@ def signatures(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return map_rows(rows, ["doc_id", "th", "text"], lambda: lambda d, th, text: (d, th, fingerprint(text, shingle)), fields)
 
 
-def _codes(fp: int) -> list[np.ndarray]:
-    return [golay.near((fp >> first) & (1 << width) - 1) for first, width in SEGMENTS]
+def _keys(home: bool, level: int = 0):
+    segments, parts = LEVELS[level]
 
-
-def _keys(home: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = b.column(0).to_numpy()
-            for at in range(0, len(fps), 1024):
-                part, keys, sizes = fps[at : at + 1024], [], []
+            for at in range(0, len(fps), 256):
+                part, keys, sizes = fps[at : at + 256], [], []
                 for fp in part.tolist():
-                    codes = _codes(fp)
-                    if home:
-                        codes = [c[:1] for c in codes]
-                    own = [((k << 24) + (codes[i][:, None] << 12) + codes[j]).ravel() for k, (i, j) in enumerate(PAIRS)]
+                    plain = [(fp >> first) & (1 << width) - 1 for first, width in segments]
+                    codes = [golay.near(x)[: 1 if home else None] for x in plain]
+                    own = [((n << 40) + (0 if e is None else plain[e] << 24) + (codes[i][:, None] << 12) + codes[j]).ravel() for n, (e, i, j) in enumerate(parts)]
                     keys += own
                     sizes.append(sum(map(len, own)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(part, sizes))], names=["key", "fp"])
@@ -108,10 +110,14 @@ def _around(radii: tuple[int, ...]):
     return run
 
 
+def _dealt(fps: DataFrame, run, column: str, name: str = "fp") -> DataFrame:
+    """Many rows for each fingerprint.  The planner takes them for as few as the fingerprints are, and would broadcast them."""
+    return fps.mapInArrow(run, f"{column} long, fp long").withColumnRenamed("fp", name).hint("merge")
+
+
 def _crowded(fps: DataFrame, tables: Tables) -> DataFrame:
     """Edges that connect whatever is within three bits, without enumerating groups."""
-    fps = tables.put(fps)
-    one = fps.mapInArrow(_around((0, 1)), "point long, fp long")
+    one = _dealt(fps, _around((0, 1)), "point")
     # Everything one bit around a point is within two bits of each other.  The least stands for the point.
     centre = tables.put(one.groupBy("point").agg(F.min("fp").alias("centre"), F.count(F.lit(1)).alias("n")))
     close = one.join(centre.where("n > 1").select("point", "centre"), "point").where("fp != centre").select(F.col("fp").alias("a"), F.col("centre").alias("b")).distinct()
@@ -120,14 +126,14 @@ def _crowded(fps: DataFrame, tables: Tables) -> DataFrame:
     rooted = tables.put(rooted)
     most = rooted.groupBy("root").count().orderBy(F.desc("count"), "root").limit(1).collect()
     rest = rooted.where(F.col("root") != most[0]["root"]).select("fp") if most else rooted.select("fp")
-    far = rest.mapInArrow(_around((2,)), "point long, fp long").join(centre.select("point", "centre"), "point").where("fp != centre")
+    far = _dealt(rest, _around((2,)), "point").join(centre.select("point", "centre"), "point").where("fp != centre")
     return close.unionByName(far.select(F.col("fp").alias("a"), F.col("centre").alias("b")).distinct())
 
 
-def links(fps: DataFrame, tables: Tables, bucket: int = 64) -> DataFrame:
+def links(fps: DataFrame, tables: Tables, bucket: int = 64, level: int = 0) -> DataFrame:
     """Edges a, b between different fingerprints (column fp) within BITS bits, which connect all that are."""
-    home = tables.put(fps.mapInArrow(_keys(True), "key long, fp long"))
-    search = fps.mapInArrow(_keys(False), "key long, fp long").withColumnRenamed("fp", "a")
+    home = tables.put(fps.mapInArrow(_keys(True, level), "key long, fp long"))
+    search = _dealt(fps, _keys(False, level), "key", "a")
     full = tables.put(home.groupBy("key").count().where(F.col("count") > bucket).select("key"))
     crowded = not full.isEmpty()
     held = home.withColumnRenamed("fp", "b")
@@ -137,7 +143,9 @@ def links(fps: DataFrame, tables: Tables, bucket: int = 64) -> DataFrame:
     found = search.join(held, "key").where(F.col("b").isNull() | close).select("a", "b")
     if crowded:
         found = tables.put(found)
-        found = found.where("b is not null").unionByName(_crowded(found.where("b is null").select(F.col("a").alias("fp")).distinct(), tables))
+        rest = tables.put(found.where("b is null").select(F.col("a").alias("fp")).distinct())
+        more = links(rest, tables, bucket, level + 1) if level + 1 < len(LEVELS) else _crowded(rest, tables)
+        found = found.where("b is not null").unionByName(more)
     return found
 
 
@@ -147,7 +155,7 @@ def _named(signed: DataFrame, firsts: DataFrame, edges: DataFrame, on: str, tabl
     rooted = tables.put(firsts.join(roots, on, "left").select(on, "first_doc", "n", F.coalesce("root", on).alias("root")))
     named = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"), F.count(F.lit(1)).alias("n"))
     named = tables.put(dealt_join(rooted.select(on, F.col("n").alias("rows"), "root"), tables.put(named), "root", [on]).select(on, F.col("rows").alias("n"), "component_id"))
-    return dealt_join(signed, named, on, ["doc_id", "th"]).drop("n")
+    return dealt_join(signed, named, on, ["doc_id", "th"]).select(*signed.columns, "component_id")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, bucket: int = 64) -> DataFrame:
@@ -155,7 +163,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bucket: int = 64) -> Data
     tables = Tables(docs.sparkSession)
     signed = tables.put(signatures(docs, shingle))
     fps = tables.put(signed.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")))
-    return _named(signed, fps, links(fps.select("fp"), tables, bucket), "fp", tables)
+    out = Tables(docs.sparkSession).put(_named(signed, fps, links(fps.select("fp"), tables, bucket), "fp", tables))
+    tables.clear()
+    return out
 
 
 def similar_texts(docs: DataFrame, bucket: int = 64, tables: Tables | None = None) -> DataFrame:
