@@ -62,10 +62,15 @@ def get_spark(config: EngineConfig | None = None) -> SparkSession:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder's path that all executors see: in the checkpoint folder if the cluster names one."""
+    """A new path that all executors see: in the checkpoint folder if the cluster names one.  It goes when the driver's JVM ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.gettempdir()
-    return f"{base.rstrip('/')}/lakescan-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/lakescan-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return f"{folder}/rows"
