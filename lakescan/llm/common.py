@@ -30,7 +30,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         if not sc.master.startswith("local[") and sc.master != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lakescan-checkpoint-"))
+        sc.setCheckpointDir(made := tempfile.mkdtemp(prefix="lakescan-checkpoint-"))
+        delete_at_end(spark, made)
     return sc.getCheckpointDir()
 
 

@@ -8,13 +8,14 @@ at each boundary and joins chunks until it spans ``span`` bytes.  Units are dedu
 digest: the least doc_id that holds a digest keeps it, all others lose it; within a
 text the first place keeps it.  What is lost is the union of lost units.
 
-Only (digest, doc_id) is shuffled: counted with map-side aggregation, then joined with
-the digests that several documents share.  No group is gathered; the digests of one
+Digests have 128 bits.  All documents' digests are counted by their upper half, with map-side aggregation; those that several documents
+hold are few and are told apart by the lower half.  So most of the shuffle is (half a digest, doc_id), and no unit goes because
+another one has half its digest.  Digests that many documents hold are dealt to several tasks.  No group is gathered; the digests of one
 document are, which its length bounds.
 
 Defined cases: null is an empty text.  Rows with null doc_id pass unchanged but for
-repeats within themselves.  Rows of equal doc_id count as one document.  Texts
-shorter than ``span`` bytes stay.  Empty tables give empty tables.
+repeats within themselves.  Rows of equal doc_id count as one document, and repeated rows are treated alike.  Texts
+shorter than ``span`` bytes stay.  Texts of any length are read whole.  Columns of other names are ignored.  Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakescan.llm.common import map_rows, whole_text
+from lakescan.llm.common import Tables, dealt_join, map_rows, whole_text
 
 GEAR = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 16, 256, dtype=np.uint16)
 #: Upper bits that are zero at a boundary (a mean chunk of 2 ** BITS bytes); longer gaps get more boundaries.
@@ -73,30 +74,38 @@ def units(data: bytes, span: int = SPAN) -> list[tuple[int, int, int]]:
     at = cuts(data)
     starts = at[at <= len(data) - span]
     ends = at[np.searchsorted(at, starts + span)]
-    h = xxhash.xxh3_64_intdigest
-    return [(s, e, h(data[s:e]) - (1 << 63)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+    h = xxhash.xxh3_128_intdigest
+    return [(s, e, h(data[s:e])) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
-def digests(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """digest, doc_id: each digest once for a document."""
+def _halves(found: set[int]) -> tuple[np.ndarray, np.ndarray]:
+    upper, lower = (np.fromiter((part(d) for d in found), np.uint64, len(found)).view(np.int64) for part in (lambda d: d >> 64, lambda d: d & (1 << 64) - 1))
+    return upper, lower
+
+
+def digests(docs: DataFrame, span: int = SPAN, whole: bool = False) -> DataFrame:
+    """digest (the upper half), lower if whole, doc_id: each digest once for a document."""
+    names = ["digest", "lower", "doc_id"] if whole else ["digest", "doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(found, ids):
+            columns = [np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), np.repeat(np.array(ids, np.int64), [len(f[0]) for f in found])]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (columns if whole else columns[::2])], names=names)
+
         for b in batches:
-            found, ids, sizes, held = [], [], [], 0
+            found, ids, held = [], [], 0
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                own = np.unique(np.array([u[2] for u in units(text.as_py().encode(), span)], np.int64))
-                found.append(own)
+                found.append(_halves({u[2] for u in units(text.as_py().encode(), span)}))
                 ids.append(doc_id)
-                sizes.append(len(own))
-                held += len(own)
+                held += len(found[-1][0])
                 if held > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.repeat(np.array(ids, np.int64), sizes))], names=["digest", "doc_id"])
-                    found, ids, sizes, held = [], [], [], 0
+                    yield batch(found, ids)
+                    found, ids, held = [], [], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.repeat(np.array(ids, np.int64), sizes))], names=["digest", "doc_id"])
+                yield batch(found, ids)
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return rows.mapInArrow(run, "digest long, doc_id long")
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def remove(text: str, lost: set[int], span: int = SPAN) -> tuple[str, int, int]:
@@ -124,15 +133,20 @@ def dedup(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
     n_shared also counts the units that this document keeps because it is the first that holds them.
     """
-    found = digests(docs, span)
-    shared = found.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first_doc")
-    lost = F.collect_list(F.when(F.col("doc_id") != F.col("first_doc"), F.col("digest"))).alias("lost")
-    lost = found.join(shared, "digest").groupBy("doc_id").agg(lost, F.count(F.lit(1)).alias("n_shared")).withColumnRenamed("doc_id", "__id")
+    tables, kept = Tables(docs.sparkSession), Tables(docs.sparkSession)
+    often = digests(docs, span).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    own = tables.put(dealt_join(digests(docs, span, whole=True), tables.put(often), "digest", ["doc_id"]).drop("n"))
+    first = own.groupBy("digest", F.col("lower").alias("f_lower")).agg(F.countDistinct("doc_id").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+    shared = dealt_join(own, tables.put(first), "digest", ["doc_id"]).where("lower = f_lower").select("doc_id", "digest", "lower", "first_doc").distinct()
+    lost = F.collect_list(F.when(F.col("doc_id") != F.col("first_doc"), F.struct("digest", "lower"))).alias("lost")
+    lost = kept.put(shared.groupBy("doc_id").agg(lost, F.count(F.lit(1)).alias("n_shared")).withColumnRenamed("doc_id", "__id"))
+    tables.clear()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     rows = rows.join(lost, F.col("doc_id") == F.col("__id"), "left")
 
     def one(doc_id, text, lost, shared):
-        text, removed, n = remove(text, set(lost or ()), span)
+        low = (1 << 64) - 1
+        text, removed, n = remove(text, {(d["digest"] & low) << 64 | d["lower"] & low for d in lost or ()}, span)
         return doc_id, text, removed, n, shared or 0, bool(n or shared)
 
     fields = [("doc_id", "long", pa.int64()), ("text", "string", pa.string()), ("removed_bytes", "long", pa.int64()), ("n_removed", "long", pa.int64()), ("n_shared", "long", pa.int64()), ("has_repeat", "boolean", pa.bool_())]
