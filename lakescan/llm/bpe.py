@@ -1,24 +1,28 @@
 """BPE encoding and decoding as a bounded-lookahead streaming transducer.
 
-A merge list has a *sufficient lookahead*: a number of bytes after a position that
-settles whether a token ends there.  Merge ``j = (u, v)`` fires across a position if
+A merge list has a *sufficient lookahead*: a number of bytes after a token's end that
+settles whether the token ends there.  Merge ``j = (u, v)`` fires across a position if
 ``v`` is whole behind it by then.  Only an earlier merge ``i`` whose left side lies on
 the right spine of ``v`` can take the end of ``v`` away, and whether that one fires
 depends in turn on what follows, so
 
     need(j) = |v| + max(need(i) for i < j with left(i) on the right spine of v)
 
-and the largest ``need`` is the lookahead.  A window of bytes is merged, tokens that end
-at least that far before the window's end are emitted, and the next window starts at
-the last emitted boundary: the part of an encoding after a token boundary is the
-encoding of the rest.  Memory is that of one window, however long the text.
+A token's end can only be crossed by merges whose left side lies on the token's own right spine; the largest ``need`` of these is
+the token's lookahead, and the largest of all is the merge list's.  The transducer holds a window of
+bytes, which it merges; it emits all tokens up to the last one that has its lookahead behind it
+in the window, and goes on from there: the part of an encoding after a token's end is the
+encoding of the rest.  At the end of a piece, which no merge crosses, everything is settled.  All
+pieces take this way; a bounded memory in front of it holds what it gave for short ones.  Pieces
+of any length are fed to it in chunks, and hashes and the decoder take what it emits, so besides the text itself
+memory is that of a window and a block of short pieces.  Only if ids are asked for are they kept.
 
 Decoding feeds the bytes of each token to an incremental UTF-8 state machine that
 keeps at most three pending bytes.
 
 Defined cases: a null text is an empty text (no ids, hash of the empty string).  Special
 tokens that the vocabulary file lists are found in the text first, as its library does.
-Rows are independent: repeats, ties and further columns have no influence, and an
+Rows are independent: repeats, ties and further columns have no influence, a null doc_id is passed on, and an
 empty table gives an empty table.
 """
 
@@ -31,11 +35,12 @@ import json
 import re
 from array import array
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lakescan.llm.common import map_rows, whole_text
 
@@ -69,24 +74,29 @@ class Vocabulary:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges.setdefault(ids[a] << SHIFT | ids[b], rank << SHIFT | ids[a + b])
         self.longest = max(map(len, self.bytes_of.values()))
-        self.lookahead = self._lookahead()
+        #: Tokens emitted before the end of their piece.
+        self.settled = 0
+        self.need, self.lookahead = self._needs()
 
-    def _lookahead(self) -> int:
+    def _needs(self) -> tuple[dict[int, int], int]:
+        """Bytes that settle a token's end, and the most of them."""
         rights: dict[int, set[int]] = defaultdict(set)  # token -> right halves that make it
         need_of: dict[int, int] = defaultdict(int)  # token -> largest need of merges with it on the left
-        most = 0
-        for pair, made in sorted(self.merges.items(), key=lambda x: x[1]):
-            left, right = pair >> SHIFT, pair & (1 << SHIFT) - 1
-            spine, todo = set(), [right]
+
+        def spine(token: int) -> set[int]:
+            seen, todo = set(), [token]
             while todo:
-                if (t := todo.pop()) not in spine:
-                    spine.add(t)
+                if (t := todo.pop()) not in seen:
+                    seen.add(t)
                     todo += rights[t]
-            need = len(self.bytes_of[right]) + max(need_of[t] for t in spine)
-            need_of[left] = max(need_of[left], need)
+            return seen
+
+        for pair, made in sorted(self.merges.items(), key=lambda x: x[1]):
+            left, right = pair >> SHIFT, pair & (1 << SHIFT) - 1
+            need_of[left] = max(need_of[left], len(self.bytes_of[right]) + max(need_of[t] for t in spine(right)))
             rights[made & (1 << SHIFT) - 1].add(right)
-            most = max(most, need)
-        return most
+        out = {t: max(need_of[x] for x in spine(t)) for t in {*self.byte_id, *rights}}
+        return out, max(out.values())
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of a short piece: the lowest-ranked pair, leftmost first, until none is left."""
@@ -125,35 +135,34 @@ class Vocabulary:
                 heapq.heappush(heap, (x, h))
         return [t for t in ids if t >= 0]
 
-    def stream(self, data: bytes, window: int = 4096) -> Iterator[list[int]]:
-        """Ids of a piece of any length; each list is stable when emitted."""
-        at, span = 0, max(window, self.longest) + self.lookahead
-        while at < len(data):
-            part = data[at : at + span]
-            ids = self.merge_window(part)
-            if at + len(part) < len(data):
-                settled, end, keep = len(part) - self.lookahead, 0, 0
-                for t in ids:
-                    if end + len(self.bytes_of[t]) > settled:
-                        break
-                    end, keep = end + len(self.bytes_of[t]), keep + 1
-                ids = ids[:keep]
-                at += end
-            else:
-                at += len(part)
-            yield ids
+    def stream(self, chunks: Iterable[bytes], window: int = 1024) -> Iterator[list[int]]:
+        """Ids of a piece of any length, which comes in chunks; each list is stable when emitted."""
+        held, span, need = b"", max(window, self.longest) + self.lookahead, self.need
+        for chunk in chunks:
+            held += chunk
+            while len(held) >= span:
+                ids, end = self.merge_window(held[:span]), span
+                keep = len(ids)
+                while keep and need[ids[keep - 1]] > span - end:
+                    keep -= 1
+                    end -= len(self.bytes_of[ids[keep]])
+                held = held[end:]
+                self.settled += keep
+                yield ids[:keep]
+        if held:
+            yield self.merge(held) if len(held) <= 64 else self.merge_window(held)
 
 
 class Encoder:
     """Encodes whole texts block by block; pieces seen lately are remembered up to a bound."""
 
-    #: Pieces remembered by a worker, bytes of a piece that is merged in one go, characters of a block.
-    REMEMBERED, SHORT, BLOCK = 250_000, 64, 1 << 16
+    #: Pieces remembered by a worker, bytes of a remembered piece, characters of a block and of a chunk of a long piece.
+    REMEMBERED, SHORT, BLOCK, CHUNK = 250_000, 64, 1 << 16, 1024
 
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.known = vocabulary, {}
         self.split = regex.compile(SPLIT)
-        self.specials = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.v.special, key=len, reverse=True)) + ")") if self.v.special else None
+        self.specials = re.compile("|".join(re.escape(s) for s in sorted(self.v.special, key=len, reverse=True))) if self.v.special else None
 
     def entry(self, ids: list[int]) -> tuple[int, str, bytes, bytes]:
         """Count, decimal ids, bytes for the decoder, ids as 32-bit integers."""
@@ -161,32 +170,43 @@ class Encoder:
 
     def piece(self, text: str) -> tuple[int, str, bytes, bytes]:
         data = text.encode()
-        if len(data) > self.SHORT:
-            return self.entry([t for ids in self.v.stream(data) for t in ids])
-        if len(self.known) >= self.REMEMBERED:
-            self.known.clear()
-        self.known[text] = out = self.entry(self.v.merge(data))
+        out = self.entry([t for ids in self.v.stream([data]) for t in ids])
+        if len(data) <= self.SHORT:
+            if len(self.known) >= self.REMEMBERED:
+                self.known.clear()
+            self.known[text] = out
         return out
 
+    def parts(self, text: str) -> Iterator[tuple[int, int, int | None]]:
+        """Start and end of what lies between special tokens, without copies, and of these with their ids."""
+        at = 0
+        if self.specials:
+            for m in self.specials.finditer(text):
+                yield at, m.start(), None
+                yield m.start(), m.end(), self.v.special[m[0]]
+                at = m.end()
+        yield at, len(text), None
+
     def blocks(self, text: str) -> Iterator[list[tuple[int, str, bytes, bytes]]]:
-        """Entries of pieces, in lists of about a block each."""
-        parts = self.specials.split(text) if self.specials and any(s in text for s in self.v.special) else [text]
+        """Entries of pieces, in lists of about a block each; of a piece longer than a block, what the transducer emits."""
         get, new = self.known.get, self.piece
-        for k, part in enumerate(parts):
-            if k % 2:
-                yield [self.entry([self.v.special[part]])]
+        for at, stop, special in self.parts(text):
+            if special is not None:
+                yield [self.entry([special])]
                 continue
-            at, width = 0, self.BLOCK
-            while at < len(part):
-                end = min(len(part), at + width)
-                pieces = self.split.findall(part, at, end)
-                if end < len(part):
+            while at < stop:
+                end = min(stop, at + self.BLOCK)
+                pieces = self.split.findall(text, at, end)
+                if end < stop:
                     # The last two may still change with what follows: a run may go on, an apostrophe may begin a suffix.
                     if len(pieces) < 3:
-                        width *= 2
+                        end = self.split.match(text, at, stop).end()
+                        chunks = (text[k : min(k + self.CHUNK, end)].encode() for k in range(at, end, self.CHUNK))
+                        yield from ([self.entry(ids)] for ids in self.v.stream(chunks))
+                        at = end
                         continue
                     end -= len(pieces.pop()) + len(pieces.pop())
-                at, width = end, self.BLOCK
+                at = end
                 yield [get(p) or new(p) for p in pieces]
 
     def ids(self, text: str) -> list[int]:
@@ -258,7 +278,7 @@ def encode(docs: DataFrame, vocabulary_path: str, keep_ids: bool = False) -> Dat
     fields = [("doc_id", "long", pa.int64()), ("n_tokens", "long", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())]
     if keep_ids:
         fields.append(("token_ids", "array<int>", pa.list_(pa.int32())))
-    return map_rows(docs.select("doc_id", whole_text().alias("text")), ["doc_id", "text"], make, fields)
+    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")), ["doc_id", "text"], make, fields)
 
 
 def decode(tokens: DataFrame, vocabulary_path: str) -> DataFrame:
