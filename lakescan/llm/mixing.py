@@ -6,19 +6,32 @@ the expected tokens of domain k are the sum of n * p[k] * r.  The rates minimise
 
     sum over k of (tokens[k] - target[k])^2 / (2 * T^2) + ridge / 2 * sum of n / T * (r - 1)^2
 
-over r >= 0.  The gradient of a rate depends on the rest only through the domain totals, so the
-steps add up in one vector theta with r = max(0, 1 - p . theta): the projection is applied to
-what has been added up.  Each step is one aggregation that returns totals and their curvature over the
-documents above zero, a handful of numbers, by which the step is scaled.
+over r >= 0 by projected gradient steps on the rates, scaled by the curvature.  With w = n / T, off = tokens / T - target and
+A the documents whose rate is above zero, the gradient of rate i (over w) is
+
+    g[i] = p[i] . off + ridge * (r[i] - 1)
+
+and the curvature on A is H = C + ridge, where C takes x to p . (sum over A of w * p * x).  A step is r <- max(0, r - H^-1 g).  By
+Woodbury's identity, with the small matrix K = sum over A of w * p * p^T,
+
+    (H^-1 g)[i] = r[i] - 1 + p[i] . (K + ridge)^-1 (off - sum over A of w * p * (r - 1))
+
+so the new rates are max(0, 1 - p . theta) with theta = (K + ridge)^-1 (off - sum over A of w * p * (r - 1)): the rates themselves need not be stored, a vector of a
+number for each domain gives them.  As the old rates were of this form, the sum is -K theta_old, and theta = theta_old + (K + ridge)^-1 (off - ridge * theta_old), which
+is what ``fit`` computes.  If a whole step doesn't lower the cost, theta moves by half of it, and so on; at a fixed point theta = off / ridge, which
+are the conditions of the only minimum.  Each step is one aggregation that returns totals and their curvature over the
+documents above zero, a handful of numbers.
+
+Tokens are those of the column that ``tokens`` names (as of the BPE operator), or else words.
 
 Rates become whole copies by a hash of the row, without bias: floor(r + u).
 
 Only DataFrame operations and the JVM's classifier are used.
 
 Defined cases: null texts are empty, with no tokens; they get posteriors as any other text
-and move no total.  Labels of ids that no document has are ignored, and several labels
+and move no total.  Null token counts are 0.  Texts of any length are read whole.  Labels of ids that no document has are ignored, and several labels
 of an id count once, the least domain.  With fewer than two labelled domains all
-posteriors are even.  Rows equal in id and text have equal rates.  Empty tables give empty tables.
+posteriors are even.  Rows equal in id and text have equal rates.  Columns of other names are passed on or ignored.  Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -48,12 +61,14 @@ def words(text="text"):
     return F.filter(F.split(F.lower(F.col(text)), r"[\s.,;:!?]+"), lambda w: w != "")
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return rows.select("doc_id", F.xxhash64("text").alias("th"), words().alias("words"))
+def _rows(docs: DataFrame, tokens: str | None = None) -> DataFrame:
+    counted = F.lit(None) if tokens is None else F.coalesce(F.col(tokens), F.lit(0))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), counted.cast("long").alias("n_tokens"))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("th"), words().alias("words"), "n_tokens")
+    return rows.withColumn("n_tokens", F.coalesce("n_tokens", F.size("words").cast("long")))
 
 
-def posteriors(docs: DataFrame, domains: DataFrame, names: list[str], sample: int = SAMPLE, width: int = WIDTH) -> DataFrame:
+def posteriors(docs: DataFrame, domains: DataFrame, names: list[str], sample: int = SAMPLE, width: int = WIDTH, tokens: str | None = None) -> DataFrame:
     """doc_id, th, n_tokens, p (one number for each name)."""
     hashed = HashingTF(inputCol="words", outputCol="features", numFeatures=width)
     known = domains.where(F.col("domain").isin(names)).groupBy("doc_id").agg(F.min("domain").alias("domain"))
@@ -62,7 +77,7 @@ def posteriors(docs: DataFrame, domains: DataFrame, names: list[str], sample: in
     label = F.array_position(F.array(*map(F.lit, names)), F.col("domain")).cast("double") - 1
     train = hashed.transform(_rows(docs).join(F.broadcast(known), "doc_id")).select("features", label.alias("label"))
     train = materialise(train)
-    rows = hashed.transform(_rows(docs)).select("doc_id", "th", F.size("words").cast("long").alias("n_tokens"), "features")
+    rows = hashed.transform(_rows(docs, tokens)).select("doc_id", "th", "n_tokens", "features")
     seen = train.select("label").distinct().count()
     if seen < 2:
         return rows.select("doc_id", "th", "n_tokens", F.array(*(F.lit(1 / len(names)) for _ in names)).alias("p"))
