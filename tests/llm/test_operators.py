@@ -1,16 +1,21 @@
 """The operators against brute force, on small fixtures with the awkward cases."""
 
 import hashlib
+import json
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 from lakescan.llm import bpe, exact_dedup, golay, langid, line_dedup, mixing, pii, quality, similar, simhash, substring_dedup, url_filter
+from lakescan.llm.common import Tables
 from lakescan.llm.components import components
 from lakescan.llm.queries import vocabulary_path
 
@@ -80,10 +85,56 @@ def test_bpe_blocks_and_stream(vocabulary, reference_tokenizer):
         for _ in range(4):
             t = "".join(rng.choice(alphabet) for _ in range(3000))
             data = t.encode()
-            assert [x for p in vocabulary.stream(data, window=1) for x in p] == vocabulary.merge(data)
+            chunks = [data[k : k + 50] for k in range(0, len(data), 50)]
+            assert [x for p in vocabulary.stream(chunks, window=1) for x in p] == vocabulary.merge(data)
             assert vocabulary.merge_window(data) == vocabulary.merge(data)
 
 
+def test_bpe_needs_settle_tokens_of_any_merge_list():
+    """Small merge lists, in which merges run far: every emitted list agrees with the whole encoding."""
+    rng = random.Random(31)
+    alphabet = bpe.byte_alphabet()
+    sign = {b: c for c, b in alphabet.items()}
+    early = 0
+    for _ in range(60):
+        tokens, merges = ["a", "b", "c"], []
+        for _ in range(rng.randrange(1, 12)):
+            x, y = rng.choice(tokens), rng.choice(tokens)
+            if len(x + y) < 12 and x + y not in tokens:
+                merges.append(f"{x} {y}")
+                tokens.append(x + y)
+        vocab = {t: k for k, t in enumerate([*alphabet, *(t for t in tokens if len(t) > 1)])}
+        v = bpe.Vocabulary(json.dumps({"model": {"vocab": vocab, "merges": merges}}))
+        assert set(sign) == set(range(256))
+        for _ in range(8):
+            data = "".join(rng.choice("aabbc") for _ in range(400)).encode()
+            lists = list(v.stream((data[k : k + 1] for k in range(len(data))), window=1))
+            assert [t for ids in lists for t in ids] == v.merge(data)
+            early += len(lists) > 2
+    assert early > 300
+
+
+def test_bpe_memory_does_not_grow_with_a_run(vocabulary, reference_tokenizer):
+    rng = random.Random(32)
+    encoder = bpe.Encoder(vocabulary)
+
+    def peak(text):
+        tracemalloc.start()
+        out = bpe.digest(encoder, text)
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, top
+
+    runs = ["".join(rng.choice("etaoinshrdlu") for _ in range(n)) for n in (1000, 100_000, 800_000)]
+    bpe.digest(encoder, runs[1])
+    before = vocabulary.settled
+    (_, small), (out, large) = peak(runs[1]), peak(runs[2])
+    assert vocabulary.settled - before > 0.99 * (out[0] + 0.1 * out[0]) and large < 1.2 * small < 3_000_000
+    for t in (runs[1][:30_000], " " * 70_000 + "x", "-" * 66_000 + runs[0] + "'s" * 40_000, "漢" * 67_000 + "<|endoftext|>" + "é" * 66_000):
+        ids = reference_tokenizer.encode(t, add_special_tokens=False).ids
+        assert bpe.digest(encoder, t)[:2] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+
+
 def test_bpe_decoder_keeps_pending_bytes(vocabulary, reference_tokenizer):
     ids = [vocabulary.byte_id[b] for b in "é漢😀".encode()[:-1]]
     d = bpe.Decoder(vocabulary)
@@ -183,10 +234,28 @@ def test_similar_texts_equal_brute_force(spark, monkeypatch):
 @pytest.mark.parametrize("share", [1, 256])
 def test_similar_verifies_shared_rows(spark, share):
     texts = ["a b c d e f g h", "a b c d e f g h i", "a b c d", "", "x y z"]
-    sets = spark.createDataFrame([(k, bytearray(similar.held_set(t))) for k, t in enumerate(texts)], "th long, set binary")
-    pairs = spark.createDataFrame([(k, 0) for k in range(1, 5)], "a long, b long")
-    got = {r["a"]: (r["near"], r["d"]) for r in similar.verify(pairs, sets, share).collect()}
-    assert got == {1: (True, pytest.approx(0.2)), 2: (False, 1.0), 3: (False, 1.0), 4: (False, 1.0)}
+    sets = spark.createDataFrame([(k, similar.held_set(t).tolist(), len(similar.held_set(t))) for k, t in enumerate(texts)], "th long, set array<int>, n int")
+    pairs = spark.createDataFrame([(k, j) for k in range(1, 5) for j in range(k)], "a long, b long")
+    assert [tuple(r) for r in similar.verify(pairs, sets, Tables(spark), share).collect()] == [(1, 0)]
+
+
+def test_similar_prefixes_miss_no_pair(spark):
+    """Sets of small alphabets around the threshold, of different sizes, in components given in advance."""
+    rng = random.Random(17)
+    sets = []
+    for size in (1, 2, 5, 6, 10, 40):
+        for _ in range(6):
+            base = rng.sample(range(60), size)
+            for _ in range(6):
+                s = set(base) - set(rng.sample(base, rng.randrange(1 + size // 5))) | set(rng.sample(range(60), rng.randrange(1 + size // 5)))
+                sets.append(sorted(s))
+    sets += [list(range(1000, 1100))[: 80 + k] for k in range(21)]
+    roots = [rng.choice([0, 0, 1, k]) for k in range(len(sets))]
+    frame = spark.createDataFrame([(k, s, len(s)) for k, s in enumerate(sets)], "th long, set array<int>, n int")
+    rooted = spark.createDataFrame(list(enumerate(roots)), "th long, root long")
+    got = {tuple(r) for r in similar.by_prefixes(rooted, frame, Tables(spark)).collect()}
+    near = {(i, j) for j in range(len(sets)) for i in range(j) if sets[i] and roots[i] != roots[j] and 5 * len({*sets[i]} & {*sets[j]}) >= 4 * len({*sets[i]} | {*sets[j]})}
+    assert near and near <= got and all(roots[i] != roots[j] for i, j in got) and len(got) < len(sets) ** 2 / 8
 
 
 @pytest.mark.parametrize("bucket", [64, 2])
@@ -201,12 +270,28 @@ def test_simhash_links_of_dense_groups(spark, bucket):
     fps |= {rng.randrange(1 << 64) for _ in range(50)}
     fps = sorted(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    links = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), bucket=bucket)
+    links = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), Tables(spark), bucket=bucket)
     roots = {r["node"]: r["root"] for r in components(links).collect()}
     found = [roots.get(f, f) for f in signed]
     assert found == brute_components(fps, signed)
 
 
+def test_simhash_keys_of_both_levels_meet():
+    rng = random.Random(41)
+    fps = [rng.randrange(1 << 64) for _ in range(60)]
+    near = [f ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(4))) for f in fps]
+    signed = lambda x: pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64))], names=["fp"])
+    for level, most in ((0, 3), (1, 12)):
+        homes, searches = ([defaultdict(set) for _ in range(2)][k] for k in range(2))
+        for made, home, x in ((homes, True, near), (searches, False, fps)):
+            for b in simhash._keys(home, level)(iter([signed(x)])):
+                for key, fp in zip(*(c.to_pylist() for c in b.columns)):
+                    made[fp].add(key)
+        for f, g in zip(fps, near):
+            f, g = (x - (1 << 64) if x >> 63 else x for x in (f, g))
+            assert searches[f] & homes[g] and len(homes[g]) == most
+
+
 def test_components_of_a_long_chain(spark):
     n = 300
     order = list(range(n))
@@ -238,6 +323,14 @@ def test_exact_resolves_equal_fingerprints(spark, texts, monkeypatch):
         assert (got[k]["keep_id"], got[k]["group_size"], got[k]["kept"]) == (max(g), len(g), k == max(g))
 
 
+def test_exact_hashes_chunks_of_huge_texts_apart(spark, texts, monkeypatch):
+    df = documents(spark, [*texts, "a" * 5000])
+    df = df.unionByName(df.where("doc_id > 80")).unionByName(df.selectExpr("null as doc_id", *df.columns[1:]).limit(3))
+    want = Counter(map(tuple, exact_dedup.fingerprints(df).collect()))
+    monkeypatch.setattr(exact_dedup, "COMPARED", 17)
+    assert Counter(map(tuple, exact_dedup.fingerprints(df, huge=100).collect())) == want
+
+
 def test_exact_repeated_rows_and_null_ids(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (None, "a"), (None, "b"), (None, "b"), (2, "b")], "doc_id long, text string")
     got = sorted(map(tuple, exact_dedup.classes(df).drop("text_sha256").collect()), key=str)
@@ -338,6 +431,19 @@ def test_pii_equals_brute_force():
         assert pii.named([x for x in found if x[1] < 4]) == brute_base(t), t
 
 
+def test_pii_takes_any_characters(spark):
+    rng = random.Random(19)
+    anchors = pii.automaton()
+    assert pii.named(pii.spans("account: KK12 1234 5678 9012 345", anchors)) == pii.named(pii.spans("account: \u212a\u212a12 1234 5678 9012 345", anchors)) == ""
+    odd = ["\u212a", "\u017f", "\u0130", "\u0131", "\u0660", "\u00b2", "\u2163", "\U0001d7d8", "\u00a0", "\u3000", "K", "S", "12", "1234 ", "account: ", "iban ", "https://", "u\u017fers/", "users/", "home/", "~", "@", "/", ":", "token=", "+", ".", " ", "no. ", "password: "]
+    for _ in range(20_000):
+        t = "".join(rng.choice(odd) if rng.random() < 0.9 else chr(rng.choice([rng.randrange(1, 0xD800), rng.randrange(0xE000, 0x110000)])) for _ in range(rng.randrange(1, 25)))
+        found = pii.spans(t, anchors)
+        assert all(0 <= s < e <= len(t) for s, _, e in found) and pii.named([x for x in found if x[1] < 4]) == brute_base(t), t
+    got = sorted(pii.detect(spark.createDataFrame([(None, "a@b.cd", "x"), (None, "a@b.cd", "y"), (1, "x" * 300_000 + " 1.2.3.4", "z")], "doc_id long, text string, spans string")).collect(), key=str)
+    assert [(r["doc_id"], r["n_email"], r["n_ip"], r["spans"], r["n_spans"]) for r in got] == [(1, 0, 1, "ip:300001:300008", 1), *[(None, 1, 0, "email:0:6", 1)] * 2]
+
+
 def test_pii_adds_and_redacts(spark):
     t = 'IBAN: DE89 3704 0044 0532 0130 00 token = "976d63bcc718c8af69164ec84259a9ab" https://joe:pw@host.org/x account no. 123456789'
     got = rows_of(pii.detect(documents(spark, [t, None, "plain words"])))
@@ -379,15 +485,67 @@ def test_language_held_out_accuracy(spark):
 def test_language_judges_long_runs_whole():
     judge = langid.Judge(langid.Model([("de", "schung", 5), ("en", "thering", 5)]))
     assert judge("schung" * 20)[0] == "de" and judge("schung" * 20 + "thering" * 100)[0] == "en"
+    assert judge("thering" * 9 + "schung" * 80)[0] == "de"  # a word of over 500 letters that begins as the other language
     assert len(judge.memory) == 0 and judge("schungschung")[0] == "de" and len(judge.memory) == 1
 
 
+def test_language_ties_and_scores_equal_dense_sums():
+    rng = random.Random(21)
+    rows = [(f"l{k}", "".join(rng.choice("abcde") for _ in range(rng.randrange(1, 6))), rng.randrange(1, 9)) for k in range(4) for _ in range(40)]
+    model = langid.Model(rows)
+    judge = langid.Judge(model)
+
+    def dense(word):  # smoothed log frequencies of each language in the first table that knows the word or some of its n-grams
+        tables = [Counter() for _ in range(6)]
+        for lang, w, n in rows:
+            for t, gs in zip(tables, ([w], *langid.Model.grams(w))):
+                for g in gs:
+                    t[lang, g] += n
+        for t, gs in zip(tables, ([word], *langid.Model.grams(word))):
+            entries = {g for _, g in t}
+            if known := [g for g in gs if g in entries]:
+                total = {x: sum(n for (y, _), n in t.items() if y == x) + 0.5 * len(entries) for x in model.languages}
+                return [np.mean([np.log((t[x, g] + 0.5) / total[x]) for g in known]) for x in model.languages]
+        return [0.0] * len(model.languages)
+
+    for _ in range(60):
+        words = ["".join(rng.choice("abcdexyz") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 6))]
+        sums = np.sum([dense(w) for w in words], axis=0)
+        lang, score = judge(" ".join(words))
+        assert sums[model.languages.index(lang)] == pytest.approx(sums.max())
+        assert score == pytest.approx(1 / np.exp((sums - sums.max()) / np.sqrt(len(words))).sum())
+    assert langid.Judge(langid.Model([("b", "x", 2), ("a", "x", 2)]))("x y")[0] == "a"
+
+
 def test_language_learns_copies_once(spark):
     rows = [(k, f"{x}word {x}text", f"l{x}") for k in range(30) for x in "abcdefgh"]
     counts = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=2)
     assert sorted(counts) == sorted((f"l{x}", f"{x}{w}", 1) for x in "abcdefgh" for w in ("word", "text"))
 
 
+def test_language_sample_is_bounded_per_language_and_leaves_none_out(spark):
+    df = spark.range(50_000).selectExpr("id doc_id", "'gleicher satz' text", "'de' lang")
+    rows = [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}own", f"l{k:04}") for k in range(1005)]
+    rows += [(k, f"thing {chr(97 + k % 26)}{chr(97 + k // 26)}", "en") for k in range(600)]
+    df = df.unionByName(spark.createDataFrame(rows, df.schema))
+    counts = langid.fit(df, per_language=50)
+    assert sorted({x for x, *_ in counts}) == ["de", "en", *(f"l{k:04}" for k in range(1005))]
+    assert [n for x, w, n in counts if (x, w) == ("en", "thing")] == [50] and ("de", "gleicher", 1) in counts
+    few = langid.fit(df, per_language=50, words=1010)  # each language's first word, then second ones
+    assert len(few) == 1010 and len({x for x, *_ in few}) == 1007
+    judge = langid.Judge(langid.Model(counts))
+    assert all(judge(t)[0] == x for _, t, x in rows[:1005:100])
+
+
+def test_language_takes_null_ids_repeats_and_clashing_columns(spark, tmp_path):
+    from lakescan.llm.queries import op4_language_id
+
+    rows = [(None, "the thing", "en", "x", 1), (None, "the thing", "en", "x", 2), (3, None, None, "x", 3), (4, "das ding", "de", "x", 4), (4, "das ding", "de", "x", 4)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, h int").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r["doc_id"] or 0, r["held_out"], r["lang_pred"]) for r in op4_language_id(spark, str(tmp_path)).collect())
+    assert got == [(0, False, "en"), (0, False, "en"), (3, zlib.crc32(b"3") % 3 == 1, "und"), *[(4, zlib.crc32(b"4") % 3 == 1, "de" if zlib.crc32(b"4") % 3 != 1 else "en")] * 2]
+
+
 # --- substrings
 
 
@@ -408,6 +566,42 @@ def test_substring_dedup(spark):
     assert got[0]["text"] == texts[0] and len(got[40]["text"]) < 100 and got[41]["text"] == got[42]["text"] == ""
 
 
+def brute_substrings(docs):
+    """docs: (doc_id, text).  What is left, by the units' own bytes instead of digests, and the shared units of each."""
+    holds, out = defaultdict(set), []
+    own = [[(s, e, (t or "").encode()[s:e]) for s, e, _ in substring_dedup.units((t or "").encode())] for _, t in docs]
+    for (doc, _), us in zip(docs, own):
+        for *_, u in us:
+            if doc is not None:
+                holds[u].add(doc)
+    for (doc, t), us in zip(docs, own):
+        data, gone, seen = bytearray((t or "").encode()), set(), set()
+        for s, e, u in us:
+            if u in seen or doc is not None and min(holds[u]) != doc:
+                gone |= set(range(s, e))
+            seen.add(u)
+        shared = {u for *_, u in us if doc is not None and len(holds[u]) > 1}
+        out.append((bytes(x for k, x in enumerate(data) if k not in gone).decode(), shared))
+    return out
+
+
+def test_substrings_take_null_ids_repeats_and_clashing_columns(spark, monkeypatch):
+    rng = random.Random(43)
+    line = lambda n: " ".join("".join(rng.choice("abcdefghé") for _ in range(rng.randrange(2, 8))) for _ in range(n))
+    a, b, c = line(60), line(60), line(500)
+    rows = [(1, a + " " + b), (1, a + " " + c), (2, line(9) + b), (2, line(9) + b), (None, a), (None, a + a), (3, c), (4, None), (5, line(20_000) + c)]
+    df = spark.createDataFrame([(d, t, k, "x", 7) for k, (d, t) in enumerate(rows)], "doc_id long, text string, digest int, lost string, n int")
+    want = sorted(((d, t, len(s)) for (d, _), (t, s) in zip(rows, brute_substrings(rows))), key=str)
+    own = {1: {u for k in (0, 1) for u in brute_substrings(rows)[k][1]}}  # rows of one id share what either holds
+    want = sorted(((d, t, len(own.get(d, s)) if d in own else n) for (d, t, n), s in zip(want, [()] * len(want))), key=str)
+    assert sorted(((r["doc_id"], r["text"], r["n_shared"]) for r in substring_dedup.dedup(df).collect()), key=str) == want
+    # Units that agree in the upper half of their digests only are told apart.
+    real = substring_dedup.units
+    monkeypatch.setattr(substring_dedup, "units", lambda data, span=80: [(s, e, d & (1 << 64) - 1) for s, e, d in real(data, span)])
+    found = substring_dedup.digests(df.where("doc_id = 3"), whole=True).collect()
+    assert {r["digest"] for r in found} == {0} and len({r["lower"] for r in found}) == len(found) > 10
+
+
 def test_cuts_resist_shifts_and_keep_characters():
     rng = random.Random(13)
     t = "".join(rng.choice("abcdeé漢 ") for _ in range(20_000)).encode()
@@ -445,6 +639,97 @@ def test_line_dedup_drops_lines_of_two_documents(spark):
     assert [got[k]["n_dropped"] for k in range(4)] == [0, 4, 1, 0]
 
 
+def brute_lines(docs, depth=3, shortest=4, tokens=3, wide=8, least=5):
+    """docs: (doc_id, text).  Texts after dedup, numbers of dropped lines, and the template of each line that has one."""
+
+    def keys(raw):
+        t = [w if not re.search("[0-9]", w) else "<*>" for w in re.split("[ \t\r]+", raw)]
+        n, fields = len(t), sum(bool(re.search("[0-9]", w)) for w in re.split("[ \t\r]+", raw))
+        out = [("exact", re.split("[ \t\r]+", raw))]
+        if n >= tokens and fields and 2 * fields <= n:
+            out.append(("digits", t))
+        if n >= wide:
+            cut = [depth + -(-k * (n - depth) // 4) for k in range(5)]
+            if 2 * (fields + -(-(n - depth) // 4)) <= n:
+                out += [(f"open {k}", [x if not cut[k] <= i < cut[k + 1] else None for i, x in enumerate(t)]) for k in range(4)]
+        return [(kind, tuple(t)) for kind, t in out]
+
+    where = defaultdict(list)
+    every = {}
+    for row, (doc, text) in enumerate(docs):
+        for at, line in enumerate((text or "").split("\n")):
+            raw = line.strip(" \t\r")
+            if len(raw) >= shortest:
+                every[row, at] = keys(raw)
+                for k in every[row, at]:
+                    where[k].append(doc)
+    good = {k: len(d) for k, d in where.items() if len({x for x in d if x is not None}) > 1 and (k[0] == "exact" or len(d) >= least)}
+    return every, good
+
+
+def check_lines(docs, got, **tree):
+    """Against brute force.  Where a line's templates stand for equally many lines, either may be its own."""
+    every, good = brute_lines(docs, **tree)
+    lost, survivors = {}, defaultdict(list)
+    for row, (doc, text) in enumerate(docs):
+        lines, left = (text or "").split("\n"), got[row][0]
+        assert (left is None) == (text is None)
+        if text is None:
+            continue
+        rest = left.split("\n") if left or got[row][1] < len(lines) else []
+        assert len(lines) - len(rest) == got[row][1]
+        it = iter(rest)
+        nxt = next(it, None)
+        for at, line in enumerate(lines):  # the lines that are left, in order
+            if nxt is not None and line == nxt and len(lines) - at >= 0:
+                nxt = next(it, None)
+                for k in every.get((row, at), ()):
+                    survivors[k].append(doc)
+            else:
+                lost[row, at] = line
+        assert nxt is None
+    for (row, at), line in lost.items():
+        own = [k for k in every[row, at] if k in good]
+        best = [k for k in own if good[k] == max(good[x] for x in own)]
+        assert any(d is not None and d != docs[row][0] for k in best for d in survivors[k]), line
+    exact = defaultdict(set)
+    for k, d in survivors.items():
+        if k[0] == "exact":
+            exact[k] |= {x for x in d if x is not None}
+    assert all(len(d) <= 1 for d in exact.values())  # no exact line is left in two documents
+    return lost
+
+
+def test_line_dedup_keeps_what_recurs_nowhere(spark):
+    ends = ["red fish swims home", "one day came late", "cold rain fell down", "old men went off", "we two ran along", "many trees grew here"]
+    texts = [f"alpha beta gamma delta {e}" for e in ends] + [f"1{k} 2{k} 3{k} 4{k}" for k in range(8)]
+    texts += [f"the quick brown fox jumped over the {x} dog and then ran away" for x in ("lazy", "wild", "tame", "thin", "grey", "sad")]
+    got = rows_of(line_dedup.dedup(documents(spark, texts)))
+    assert [k for k in range(len(texts)) if got[k]["n_dropped"]] == list(range(15, 20))
+
+
+def test_line_dedup_equals_brute_force(spark):
+    rng = random.Random(23)
+    words = ["the", "of", "line", "page", "über", "12", "a1", "x"]
+    frames = [" ".join(rng.choice(words) for _ in range(n)) for n in (1, 2, 3, 5, 8, 8, 9, 13, 20)]
+    docs = []
+    for k in range(90):
+        lines = []
+        for _ in range(rng.randrange(7)):
+            w = rng.choice(frames).split()
+            for _ in range(rng.choice([0, 0, 1, 1, 2])):
+                w[rng.randrange(len(w))] = rng.choice(["new", f"n{rng.randrange(99)}", f"{'q' * rng.randrange(1, 9)}"])
+            lines.append(rng.choice([" ", "  ", "\t"]).join(w) + rng.choice(["", " ", "\r"]))
+        docs.append((rng.choice([k, k, k, k // 2, None]), "\n".join(lines) if k % 20 else None))
+    docs += [docs[5], docs[5], (200, "word " * 3000 + "\n" + "\n".join(f"l{k} of many" for k in range(3000))), (201, "l5 of many\nword " + "word " * 2999)]
+    rows = [(d, t, k, "clash", 1, "c", 3) for k, (d, t) in enumerate(docs)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int, template string, n int, line string, __salt int").repartition(3)
+    out = line_dedup.dedup(df).collect()
+    assert len(out) == len(docs) and all((r["template"], r["n"], r["line"]) == ("clash", 1, "c") for r in out)
+    lost = check_lines(docs, {r["row"]: (r["text"], r["n_dropped"]) for r in out})
+    assert len(lost) > 100
+
+
 # --- URLs
 
 
@@ -472,6 +757,39 @@ def test_url_rules_and_mining(spark):
     assert url_filter.judge(pages.where("false"), labelled).count() == 0
 
 
+def brute_rules(labelled, support, confidence, least, deviations):
+    """labelled: (url, bad).  Antecedents of pruned rules with their confidence."""
+    pages = []
+    for url, bad in labelled:
+        host, path, _ = brute_url(url)
+        own = {f"h:{x}" for x in re.split("[.-]", host) if x} | {f"p:{x}" for x in path.split("/") if x and not re.search("[0-9]", x)}
+        pages.append((own, bool(bad)))
+    every, hits = Counter(), Counter()
+    for own, bad in pages:
+        for r in range(1, len(own) + 1):
+            for c in combinations(sorted(own), r):
+                every[c] += 1
+                hits[c] += bad
+    base = sum(b for _, b in pages) / max(1, len(pages))
+    good = {c: n / every[c] for c, n in hits.items() if n >= max(least, support * len(pages)) and n / every[c] >= confidence and (n / every[c] - base) * every[c] ** 0.5 >= deviations * (base * (1 - base)) ** 0.5}
+    return {c: x for c, x in good.items() if not any(set(d) < set(c) for d in good)}
+
+
+@pytest.mark.parametrize("least, deviations", [(2, 0.5), (4, 2.0), (10, 4.0)])
+def test_url_rules_equal_brute_force(spark, least, deviations):
+    base = "/root/testdata/sf0.01"
+    pages = spark.read.parquet(f"{base}/pages.parquet").select("page_id", "url")
+    labelled = url_filter.labelled_pages(pages, spark.read.parquet(f"{base}/labels.parquet"))
+    want = brute_rules([tuple(r) for r in labelled.collect()], 0.002, 0.6, least, deviations)
+    got = {tuple(r["rule_tokens"]): r["confidence"] for r in url_filter.mine(url_filter.parsed(labelled), 0.002, 0.6, least, deviations).collect()}
+    assert got == pytest.approx(want) and (least < 10 or not want) and (least > 2 or len(want) > 3)
+    found = {r["page_id"]: r for r in url_filter.judge(pages, labelled, least=least, deviations=deviations).collect()}
+    for r in pages.collect():
+        host, path, _ = brute_url(r["url"])
+        own = {f"h:{x}" for x in re.split("[.-]", host)} | {f"p:{x}" for x in path.split("/")}
+        assert found[r["page_id"]]["mined_confidence"] == pytest.approx(max((x for c, x in want.items() if set(c) <= own), default=None))
+
+
 # --- mixing
 
 
@@ -500,6 +818,51 @@ def test_mixing_fit_equals_projected_gradient(spark):
     assert np.maximum(0, 1 - p @ np.array(theta)) == pytest.approx(r, abs=1e-4)
 
 
+def test_mixing_steps_are_projected_steps_on_rates(spark):
+    """max(0, r - H^-1 g) with the whole matrix over the documents equals what the small vector gives, step by step."""
+    rng = np.random.default_rng(4)
+    n, p = rng.integers(1, 50, 40), rng.dirichlet([0.4] * 3, 40)
+    df = spark.createDataFrame([(int(a), list(map(float, b))) for a, b in zip(n, p)], "n_tokens long, p array<double>")
+    target, ridge, w, r = np.array([0.85, 0.1, 0.05]), 0.02, n / n.sum(), np.ones(40)
+    zeros = 0
+    for steps in (1, 2, 3):
+        gradient = p @ ((w * r) @ p - target) + ridge * (r - 1)
+        curvature = p @ (p * (w * (r > 0))[:, None]).T + ridge * np.eye(40)
+        r = np.maximum(0, r - np.linalg.solve(curvature, gradient))
+        zeros += (r == 0).sum()
+        theta, _ = mixing.fit(df, target.tolist(), ridge=ridge, steps=steps)
+        assert np.maximum(0, 1 - p @ np.array(theta)) == pytest.approx(r, abs=1e-9)
+    assert zeros
+
+
+def test_mixing_takes_counts_repeats_and_clashing_columns(spark):
+    rows = [(k % 50, "alpha beta " * 5 if k % 2 else "gamma delta", k, 7, "x") for k in range(100)] + [(None, None, None, 7, "x"), (None, "alpha", 3, 7, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, p long, rate int, th string")
+    domains = spark.createDataFrame([(k, "a" if k % 2 else "b") for k in range(50)], "doc_id long, domain string")
+    got = mixing.mix(df, domains, {"a": 0.5, "b": 0.5}, tokens="p").collect()
+    assert sorted(r["n_tokens"] for r in got) == sorted(k or 0 for *_, k, _, _ in rows)
+    rates = defaultdict(set)
+    for r in got:
+        rates[r["doc_id"], r["th"]].add(r["rate"])
+    assert all(len(x) == 1 for x in rates.values())
+    out = mixing.apply(df, domains, {"a": 0.5, "b": 0.5})
+    assert out.columns == df.columns and {r["rate"] for r in out.collect()} == {7}
+
+
 @pytest.mark.parametrize("make", [lambda d: bpe.encode(d, vocabulary_path()), exact_dedup.classes, simhash.near_duplicates, simhash.keep_one, quality.assess, quality.keep, pii.detect, substring_dedup.dedup, line_dedup.dedup, lambda d: langid.predict(d, langid.fit(d)), lambda d: mixing.apply(d, d.selectExpr("doc_id", "'good' as domain"))])
 def test_empty_tables(spark, make):
     assert make(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("make", [lambda d: bpe.encode(d, vocabulary_path()), exact_dedup.classes, simhash.near_duplicates, simhash.similar_texts, quality.assess, pii.detect, substring_dedup.dedup, line_dedup.dedup, lambda d: langid.predict(d, langid.fit(d)), lambda d: mixing.mix(d, d.selectExpr("doc_id", "lang as domain"), {"en": 0.5, "de": 0.5})])
+def test_awkward_rows(spark, make):
+    """Nulls in every column, empty and very long texts, repeated rows, names that the operators use themselves: a row for each row, equal rows alike."""
+    rng = random.Random(51)
+    long = " ".join(f"{rng.choice(WORDS)}{rng.randrange(99)}" for _ in range(60_000)) + "\n" + "x" * 300_000
+    texts = [None, "", " ", "short", long, long + "y", "one two three four five six\nseven"]
+    rows = [(k % 6 if k % 4 else None, texts[k % len(texts)], [None, "en", "de"][k % 3], None if k % 5 == 0 else "s", None, "th", 1, 2, "x", 3, None) for k in range(28)]
+    rows += rows[:9]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, th string, fp int, lost int, key string, n int, template string").repartition(3)
+    out = [tuple(r) for r in make(df).collect()]
+    assert len(out) == len(rows)
+    assert Counter(r[0] for r in out) == Counter(r[0] for r in rows)

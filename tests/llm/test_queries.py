@@ -2,12 +2,13 @@
 
 import hashlib
 import zlib
+from collections import Counter
 
 import pytest
 
-from lakescan.llm import mixing, simhash
+from lakescan.llm import line_dedup, mixing, simhash
 from lakescan.llm.queries import QUERIES, vocabulary_path
-from tests.llm.test_operators import brute_base, brute_components, brute_fingerprint, brute_quality, brute_similar, brute_url
+from tests.llm.test_operators import brute_base, brute_components, brute_fingerprint, brute_quality, brute_similar, brute_substrings, brute_url, check_lines
 
 BASE = "/root/testdata/sf0.001"
 
@@ -33,16 +34,24 @@ def test_op1(spark, docs):
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
 
 
-def test_op2_texts_lose_only_what_repeats(spark, docs):
-    got = result(spark, "op2_substring_dedup")
-    assert len(got) == len(docs)
-    everything = "\n".join(d["text"] for d in docs.values())
-    for r in got:
-        before = docs[r["doc_id"]]["text"]
-        assert len(before.encode()) - len(r["text"].encode()) == r["removed_bytes"]
-        assert r["removed_bytes"] == 0 or r["has_repeat"]
-        if not r["has_repeat"]:
-            assert r["text"] == before and (len(before) < 400 or everything.count(before[100:300]) == 1)
+def test_op2(spark, docs):
+    got = {r["doc_id"]: r for r in result(spark, "op2_substring_dedup")}
+    ids = sorted(docs)
+    want = dict(zip(ids, brute_substrings([(k, docs[k]["text"]) for k in ids])))
+    assert sorted(got) == ids
+    for k in ids:
+        text, shared = want[k]
+        assert (got[k]["text"], got[k]["n_shared"]) == (text, len(shared)) and got[k]["removed_bytes"] == len(docs[k]["text"].encode()) - len(text.encode())
+        # What makes a document a repeat are at least 80 bytes that another document holds as well, or it itself.
+        assert got[k]["has_repeat"] == bool(shared or got[k]["n_removed"]) and all(len(u) >= 80 and sum(u in d["text"].encode() for d in docs.values()) > 1 for u in list(shared)[:5])
+
+
+def test_op3(spark, docs):
+    got = {r["doc_id"]: r for r in result(spark, "op3_line_dedup")}
+    ids = sorted(docs)
+    assert sorted(got) == ids
+    lost = check_lines([(k, docs[k]["text"]) for k in ids], {n: (got[k]["text"], got[k]["n_dropped"]) for n, k in enumerate(ids)})
+    assert len(lost) > 50
 
 
 def test_op4(spark, docs):
@@ -89,22 +98,34 @@ def test_op6_rates_meet_targets(spark):
             assert sum(r["n_tokens"] * r[p] * r["rate"] for r in got) / total == pytest.approx(share, abs=0.02)
 
 
-def test_pipeline_stages(spark, docs):
+def test_pipeline_chain_equals_brute_force(spark, docs):
+    """Each stage on what the stage before has kept."""
+    from tokenizers import Tokenizer
+
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    table = spark.read.parquet(f"{BASE}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "simhash near-dedup", "mixing", "bpe"] and corpus_pipeline.ORACLE_SQL is None
     stages = dict(corpus_pipeline.STAGES)
-    kept = stages["quality rules"](spark, table, BASE)
+    held = lambda df: (df := spark.createDataFrame(df.collect(), df.schema), sorted(map(tuple, df.select("doc_id", "text").collect())))
+    kept, rows = held(stages["quality rules"](spark, spark.read.parquet(f"{BASE}/documents.parquet"), BASE))
     verdicts = {r["doc_id"]: r["kept"] for r in result(spark, "op10_quality_rules")}
-    assert kept.columns == table.columns and {r["doc_id"] for r in kept.collect()} == {k for k, v in verdicts.items() if v}
-    lines = stages["line dedup"](spark, table, BASE)
-    assert lines.columns == table.columns and lines.count() == len(docs)
-    near = stages["simhash near-dedup"](spark, table, BASE)
-    assert near.columns == table.columns and sorted(r["doc_id"] for r in near.collect()) == sorted(set(brute_similar([docs[k]["text"] for k in sorted(docs)], sorted(docs))))
-    mixed = stages["mixing"](spark, table, BASE)
-    assert mixed.columns == table.columns and 0.8 * len(docs) < mixed.count() < 1.2 * len(docs)
+    assert {d for d, _ in rows} == {d for d, v in verdicts.items() if v}
+    assert all(not brute_quality(t)[-1] and docs[d]["text"] == t for d, t in rows) and len(rows) < len(docs)
+    dropped = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup(kept).collect()}
+    lines, after = held(stages["line dedup"](spark, kept, BASE))
+    assert check_lines(rows, {n: (t, dropped[d]) for n, (d, t) in enumerate(after)})
+    near, rows = held(stages["simhash near-dedup"](spark, lines, BASE))
+    assert rows == [x for x in after if x[0] in set(brute_similar([t for _, t in after], [d for d, _ in after]))]
+    rates = {r["doc_id"]: r["rate"] for r in mixing.mix(near, mixing.labelled_domains(spark.read.parquet(f"{BASE}/labels.parquet"))).collect()}
+    mixed, after = held(stages["mixing"](spark, near, BASE))
+    assert all(f.columns == ["doc_id", "text", "lang", "source", "n_chars"] for f in (kept, lines, near, mixed))
+    copies = Counter(after)
+    assert set(copies) <= set(rows) and all(int(rates[d]) <= copies[d, t] <= int(rates[d]) + 1 for d, t in rows)
+    library = Tokenizer.from_file(vocabulary_path())
     final = corpus_pipeline.run(spark, BASE).collect()
-    assert final and all(r["n_tokens"] == len(r["token_ids"]) for r in final)
+    texts = dict(rows)
+    assert Counter(r["doc_id"] for r in final) == Counter(d for d, _ in after)
+    for r in final:
+        assert r["n_tokens"] == len(r["token_ids"]) and r["token_ids"] == library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
 
 
 def test_stages_take_awkward_rows(spark):
