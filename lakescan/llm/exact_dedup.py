@@ -14,8 +14,8 @@ A large group is dealt to several tasks: its representative's chunks are repeate
 each share of ``share`` members.
 
 Defined cases: null is an empty text.  The largest doc_id of equal texts stays; null
-doc_ids are the smallest.  Of rows equal in doc_id and text one stays.  An empty table
-gives an empty table.
+doc_ids are the smallest.  Of rows equal in doc_id and text one stays.  Texts of any length are hashed and
+compared whole, chunk by chunk.  Columns of other names are ignored.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ from lakescan.llm.common import map_rows, materialise, whole_text
 PRIMES, BASES = (2147483647, 2147483629), (1103515245, 1664525)
 #: Bytes of a hashed chunk: 4096 products below 2 ** 39 stay below 2 ** 53, exact in any order.
 CHUNK = 4096
-#: Characters of a compared chunk.
-COMPARED = 1 << 20
+#: Characters of a compared chunk; bytes of a text whose chunks are hashed by several tasks.
+COMPARED, HUGE = 1 << 20, 1 << 25
 
 
 def _powers(prime: int, base: int) -> np.ndarray:
@@ -64,16 +64,51 @@ def polynomial(data: bytes) -> tuple[int, int, int]:
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, th (a hash that ties a row to its text), size, f1, f2, text_sha256; a row for each row."""
+FIELDS = [("doc_id", "long", pa.int64()), ("th", "long", pa.int64()), ("size", "long", pa.int64()), ("f1", "long", pa.int64()), ("f2", "long", pa.int64()), ("text_sha256", "string", pa.string())]
+
+
+def fingerprints(docs: DataFrame, huge: int = HUGE) -> DataFrame:
+    """doc_id, th (a hash that ties a row to its text), size, f1, f2, text_sha256; a row for each row.
+
+    Texts of over ``huge`` bytes are left out in the first pass; only if there are any does a second one deal their chunks to tasks.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).withColumn("th", F.xxhash64("text"))
 
     def one(doc_id, th, text):
+        if text is None:
+            return doc_id, th, -1, None, None, None
         f1, f2, n = polynomial(data := text.encode())
         return doc_id, th, n, f1, f2, hashlib.sha256(data).hexdigest()
 
-    fields = [("doc_id", "long", pa.int64()), ("th", "long", pa.int64()), ("size", "long", pa.int64()), ("f1", "long", pa.int64()), ("f2", "long", pa.int64()), ("text_sha256", "string", pa.string())]
-    return map_rows(rows, ["doc_id", "th", "text"], lambda: one, fields)
+    fits = F.octet_length("text") <= huge
+    signed = materialise(map_rows(rows.withColumn("text", F.when(fits, F.col("text"))), ["doc_id", "th", "text"], lambda: one, FIELDS))
+    if signed.where("size < 0").isEmpty():
+        return signed
+    return signed.where("size >= 0").unionByName(_by_chunks(rows.where(~fits)))
+
+
+def _by_chunks(rows: DataFrame) -> DataFrame:
+    """The same of few, huge texts: chunks are hashed by different tasks, and their fingerprints combined in order."""
+    chunks = rows.select("doc_id", "th", F.sha2("text", 256).alias("sha"), F.posexplode_outer(_chunks(F.col("text"))).alias("k", "chunk"))
+    chunks = chunks.repartition("doc_id", "th", "k")
+    fields = [*FIELDS[:2], ("sha", "string", pa.string()), ("k", "int", pa.int32()), *FIELDS[2:5]]
+
+    def one(doc_id, th, sha, k, chunk):
+        f1, f2, n = polynomial(chunk.encode())
+        return doc_id, th, sha, k, n, f1, f2
+
+    parts = map_rows(chunks, ["doc_id", "th", "sha", "k", "chunk"], lambda: one, fields)
+    parts = parts.groupBy("doc_id", "th", "sha", "k").agg(F.first(F.struct("f1", "f2", "size")).alias("part"), F.count(F.lit(1)).alias("rows"))
+    whole = parts.groupBy("doc_id", "th", "sha").agg(F.sort_array(F.collect_list(F.struct("k", "part"))).alias("parts"), F.first("rows").alias("rows"))
+
+    def joined(doc_id, th, sha, parts, rows):
+        out = (0, 0, 0)
+        for p in parts:
+            out = combine(out, tuple(p["part"].values()))
+        return doc_id, th, out[2], out[0], out[1], sha, rows
+
+    out = map_rows(whole, ["doc_id", "th", "sha", "parts", "rows"], lambda: joined, [*FIELDS, ("rows", "long", pa.int64())])
+    return out.withColumn("rows", F.explode(F.sequence(F.lit(1), F.col("rows")))).drop("rows")
 
 
 def _chunks(text):
