@@ -353,10 +353,9 @@ def ipc_batches(s, d):
 
 @query("parquet_row_groups", "SELECT o_orderkey, o_totalprice FROM orders")
 def parquet_row_groups(s, d):
-    """Read group by group."""
+    """Each row by the group that holds it, all groups in one scan."""
     sinks.write(batch(s, d, "orders"), path := scratch(s), **{"parquet.block.size": 1 << 17, "parquet.page.size": 1 << 14})
-    r = scan_parquet(path, s)
-    return Union([Scan(r.read_batch(k, ["o_orderkey", "o_totalprice"]).df) for k in range(r.num_batches)]).lower(s)
+    return scan_parquet(path, s).read_row_groups(columns=["o_orderkey", "o_totalprice"]).df
 
 
 query("scan_metadata", "SELECT count(*) AS n, 6 AS columns, 'o_orderkey' AS first FROM orders")(lambda s, d: s.createDataFrame([((r := scanned(s, d, "orders")).num_rows, r.num_columns, r.column_names[0])], "n long, columns int, first string"))

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import __spark_entry__ as entry
 import lakescan
 from lakescan import Array, ArrayBuilder, Batch, QueryPlan, Schema, case, cast, col, from_arrow, lit
 from lakescan.array import equal, mask
@@ -19,6 +20,7 @@ from lakescan.functions import alias_of
 from lakescan.operators import relational
 from lakescan.plans import Empty, Scan, Union
 from lakescan.scan import scan, scan_ipc, scan_parquet
+from lakescan.sources import parquet
 
 
 TABLES = "/root/testdata/sf0.001"
@@ -263,6 +265,56 @@ def test_parquet_scan(events, tmp_path, spark):
     assert many.batch_row_counts() == [40, 40, 20] * 3 and many.read_batch(5, ["event_id"]).to_pydict() == {"event_id": table["event_id"].to_pylist()[180:200]}
 
 
+def test_row_groups_at_once(ipc, tmp_path, spark):
+    """Groups of 1 to 400 rows in files with awkward names, under columns named as the reader's own."""
+    table = pq.read_table(f"{TABLES}/events.parquet", columns=["event_id", "value", "event_type", "user_id"]).slice(0, 1000).rename_columns(["first", "row 0", "file", "a.b"])
+    folder = tmp_path / "odd ü=%1"
+    folder.mkdir()
+    cuts, parts = [[0, 1, 2, 3, 403, 500], [500, 500], [500, 510, 900, 1000]], []
+    for k, cut in enumerate(cuts):
+        with pq.ParquetWriter(folder / f"p é+{k}.parquet", table.schema) as out:
+            for a, b in zip(cut, cut[1:]):
+                if b > a:
+                    out.write_table(table.slice(a, b - a), row_group_size=b - a)
+                    parts.append(table.slice(a, b - a))
+    s = scan_parquet(str(folder), spark)
+    assert s.batch_row_counts() == [len(p) for p in parts] == [1, 1, 1, 400, 97, 10, 390, 100]
+
+    def same(got, indices, columns=table.column_names):
+        want = [(*r.values(), k) for k in indices for r in parts[k].select(columns).to_pylist()]
+        assert got.column_names == [*columns, "k"] and sorted(tuple(r) for r in got.df.collect()) == sorted(want)
+
+    same(s.read_row_groups(number="k"), range(8))
+    same(s.read_row_groups([6, 0, 6, 2], ["file", "first"], "k"), [6, 0, 6, 2], ["file", "first"])
+    same(s.read_row_groups([7], number="k"), [7])
+    same(s.read_row_groups([], number="k"), [])
+    plan = s.read_row_groups(columns=["first"]).explain()
+    assert plan.count("ReadSchema") == plan.count("ReadSchema: struct<first:bigint,_tmp") == 1
+    assert s.read_batch(5).to_pydict() == parts[5].to_pydict()
+    for bad, columns, error in (([8], None, IndexError), ([-1], None, IndexError), ([0], ["no"], IndexError)):
+        with pytest.raises(error):
+            s.read_row_groups(bad, columns)
+    with pytest.raises(NotImplementedError):
+        ipc.read_row_groups()
+    kept = scan_parquet(str(folder), spark).prefetch()
+    same(kept.read_row_groups([3, 4], number="k"), [3, 4])
+    kept.release()
+    pq.write_table(table.slice(0, 5), folder / "q.parquet")
+    with pytest.raises(OSError):  # not among the rows of the scan that is open
+        s.read_row_groups()
+
+
+def test_row_groups_query_scans_once(spark, monkeypatch):
+    """One scan and one look at the footers, whatever the number of groups."""
+    found, footers = [], parquet.row_groups
+    monkeypatch.setattr(parquet, "row_groups", lambda *x: found.append(footers(*x)) or found[-1])
+    df = entry.queries()["parquet_row_groups"](spark, "/root/testdata/sf0.01")
+    assert len(found) == 1 and len(found[0]) > 1
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+    want = duckdb.sql("SELECT o_orderkey, o_totalprice FROM '/root/testdata/sf0.01/orders.parquet'").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(want)
+
+
 # --- plans
 
 
